@@ -118,10 +118,9 @@ def global_id(well: Column, seg: Column, cp_seg: Column) -> Column:
 
 # --- feature names ----------------------------------------------------------------------------
 def metric_unit(metric: Column) -> Column:
-    out = None
-    for unit, names in METRIC_UNITS.items():
-        out = F.when(metric.isin(names), unit) if out is None else out.when(metric.isin(names), unit)
-    return out.otherwise("unknown")
+    """Unit by one lookup in a literal map; unlisted metrics are ``unknown``."""
+    pairs = [F.lit(x) for unit, names in METRIC_UNITS.items() for n in names for x in (n, unit)]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), metric), F.lit("unknown"))
 
 
 def _escape(name: str) -> str:

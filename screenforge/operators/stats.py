@@ -298,3 +298,59 @@ def geometric_batch_correction(real: DataFrame, control: DataFrame, key: str, co
     return j.withColumns({
         "geo": geo, f"{a}_corrected": F.col(a) * held(geo / ca), f"{b}_corrected": F.col(b) * held(geo / cb)
     }).drop("__a", "__b")
+
+
+def winner(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Difference and the larger side; a tie goes to the second."""
+    return df.withColumns({"delta": F.col(a) - F.col(b), "winner": F.when(F.col(a) > F.col(b), F.lit(a)).otherwise(F.lit(b))})
+
+
+def residual_outliers(df: DataFrame, item: str, x: str, y: str, n: int = 10, n_ends: int = 3) -> DataFrame:
+    """The n largest |residuals| and the n_ends items highest and lowest in x + y, each item once."""
+    r = residuals(df, x, y)
+    total = F.col(x) + F.col(y)
+    picks = [r.orderBy(F.abs("residual").desc(), item).limit(n), r.orderBy(total.desc(), item).limit(n_ends), r.orderBy(total.asc(), item).limit(n_ends)]
+    ids = picks[0].select(item).union(picks[1].select(item)).union(picks[2].select(item)).distinct()
+    return r.join(ids, item, "left_semi")
+
+
+def profile_against_controls(long: DataFrame, members: Column, control: Column) -> DataFrame:
+    """Mean standardised value of a set and of the controls per feature."""
+    z = standard_scale(long)
+    return z.groupBy("feature").agg(F.avg(F.when(members, F.col("z"))).alias("set_z"), F.avg(F.when(control, F.col("z"))).alias("control_z"))
+
+
+def density_1d(df: DataFrame, key: str, x: str, factor: float = 0.3, points: int = 300) -> DataFrame:
+    """Gaussian kernel density on a grid per key, scaled to a maximum of 1.
+
+    Each row adds its kernel to the grid of its own key by exploding a fixed number of grid
+    points; sums combine before the shuffle, so a large key costs no more than ``points`` rows a task.
+    """
+    st = df.where(F.col(x).isNotNull()).groupBy(key).agg(
+        (F.stddev_samp(x) * factor).alias("__h"), F.count(x).alias("__n"), F.min(x).alias("__lo"), F.max(x).alias("__hi")
+    )
+    rows = df.where(F.col(x).isNotNull()).groupBy(key, x).agg(F.count(F.lit(1)).alias("__c")).join(st, key)
+    g = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    at = F.col("__lo") + (F.col("__hi") - F.col("__lo")) * F.col("i") / float(points - 1)
+    u = (at - F.col(x)) / F.col("__h")
+    d = g.groupBy(key, "i").agg(
+        F.first(at).alias("at"), (F.sum(F.col("__c") * F.exp(-0.5 * u * u)) / F.first(F.col("__n") * F.col("__h") * F.sqrt(2 * F.pi()))).alias("density")
+    )
+    return d.withColumn("density", F.try_divide(F.col("density"), F.max("density").over(Window.partitionBy(key))))
+
+
+def density_2d(df: DataFrame, key: str, x: str, y: str, points: int = 100) -> DataFrame:
+    """Gaussian kernel density with the sample covariance times n^(-1/3), on a points × points grid per key."""
+    ok = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    st = ok.groupBy(key).agg(
+        F.count(F.lit(1)).alias("n"), F.stddev_samp(x).alias("sx"), F.stddev_samp(y).alias("sy"), F.covar_samp(x, y).alias("sxy"),
+        F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"),
+    ).withColumns({"k2": F.pow(F.col("n").cast("double"), F.lit(-1.0 / 3)), "det": F.col("sx") * F.col("sx") * F.col("sy") * F.col("sy") - F.col("sxy") * F.col("sxy")})
+    rows = ok.groupBy(key, F.col(x).alias("__x"), F.col(y).alias("__y")).agg(F.count(F.lit(1)).alias("__c")).join(st, key)
+    axis = F.sequence(F.lit(0), F.lit(points - 1))
+    g = rows.withColumn("i", F.explode(axis)).withColumn("j", F.explode(axis))
+    dx = F.col("x0") + (F.col("x1") - F.col("x0")) * F.col("i") / float(points - 1) - F.col("__x")
+    dy = F.col("y0") + (F.col("y1") - F.col("y0")) * F.col("j") / float(points - 1) - F.col("__y")
+    quad = (dx * dx * F.col("sy") * F.col("sy") - 2 * dx * dy * F.col("sxy") + dy * dy * F.col("sx") * F.col("sx")) / F.col("det")
+    scale = F.first(F.col("n") * 2 * F.pi() * F.col("k2") * F.sqrt("det"))
+    return g.groupBy(key, "i", "j").agg((F.sum(F.col("__c") * F.exp(-0.5 / F.col("k2") * quad)) / scale).alias("density"))

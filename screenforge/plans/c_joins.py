@@ -157,8 +157,8 @@ def j20(spark, sf):
     return J.channel_of_label(names(spark, sf).select(key.alias("label")).distinct(), channels)
 
 
-@query("p22_shortest_match", f"""WITH {_PARSED_SQL}, n AS (SELECT DISTINCT organelle FROM parsed WHERE organelle IS NOT NULL), p AS (SELECT DISTINCT upper(substr(organelle, 1, 2)) AS pattern FROM n)
-SELECT pattern, arg_min(organelle, (length(organelle), organelle)) AS organelle FROM p JOIN n ON contains(lower(organelle), lower(pattern)) GROUP BY 1""")
+@query("p22_shortest_match", f"""WITH {_PARSED_SQL}, n AS (SELECT DISTINCT organelle FROM parsed WHERE organelle IS NOT NULL), pat AS (SELECT DISTINCT upper(substr(organelle, 1, 2)) AS pattern FROM n)
+SELECT pattern, arg_min(organelle, (length(organelle), organelle)) AS organelle FROM pat JOIN n ON contains(lower(organelle), lower(pattern)) GROUP BY 1""")
 def p22(spark, sf):
     n = parsed(spark, sf).where(F.col("organelle").isNotNull()).select("organelle").distinct()
     return J.shortest_match(n, n.select(F.upper(F.substring("organelle", 1, 2)).alias("pattern")).distinct())
