@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -48,7 +49,7 @@ def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(flip, 1 - val, val)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _t_udf(t: pd.Series, dof: pd.Series) -> pd.Series:
     tv, dv = t.to_numpy(dtype=float), dof.to_numpy(dtype=float)
     ok = np.isfinite(tv) & np.isfinite(dv) & (dv > 0)
@@ -85,11 +86,10 @@ def hypergeom_tail_values(k, M, n, N) -> np.ndarray:
         term = np.where(more, term * ratio, term)
         total = np.where(more, total + term, total)
         i = np.where(more, i + 1, i)
-        rising = False
     return np.minimum(total, 1.0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def hypergeom_tail(k: pd.Series, M: pd.Series, n: pd.Series, N: pd.Series) -> pd.Series:
     """One-sided (greater) Fisher p for k marked among N drawn from M with n marked."""
     return pd.Series(hypergeom_tail_values(k, M, n, N))

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from screenforge.operators.stats import standard_scale
 from screenforge.operators.windows import normalise_to_first
@@ -138,7 +139,7 @@ def second_derivative_break(series: DataFrame, keys: Sequence[str], x: str, y: s
     pts = series.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(x).alias("x"), F.col(y).alias("y")))).alias("pts"))
     pts = pts.where(F.size("pts") <= MAX_BINS)
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def bend(xs: pd.Series, ys: pd.Series) -> pd.Series:
         out = []
         for a, b in zip(xs, ys):

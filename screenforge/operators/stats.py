@@ -334,7 +334,7 @@ def density_1d(df: DataFrame, key: str, x: str, factor: float = 0.3, points: int
     at = F.col("__lo") + (F.col("__hi") - F.col("__lo")) * F.col("i") / float(points - 1)
     u = (at - F.col(x)) / F.col("__h")
     d = g.groupBy(key, "i").agg(
-        F.first(at).alias("at"), (F.sum(F.col("__c") * F.exp(-0.5 * u * u)) / F.first(F.col("__n") * F.col("__h") * F.sqrt(2 * F.pi()))).alias("density")
+        F.first(at).alias("grid_at"), (F.sum(F.col("__c") * F.exp(-0.5 * u * u)) / F.first(F.col("__n") * F.col("__h") * F.sqrt(2 * F.pi()))).alias("density")
     )
     return d.withColumn("density", F.try_divide(F.col("density"), F.max("density").over(Window.partitionBy(key))))
 

@@ -241,7 +241,7 @@ def r23(spark, sf):
 
 @query("r24_density_1d", f"""WITH {T.GENE_CELLS}, v AS (SELECT batch, avg(cell_area) / 100000 AS x FROM gene_cells GROUP BY batch, guide), s AS (SELECT batch, stddev_samp(x) * 0.3 AS h, count(*) AS n, min(x) AS lo, max(x) AS hi FROM v GROUP BY 1),
 g AS (SELECT batch, h, n, i, lo + (hi - lo) * i / 49.0::DOUBLE AS at FROM s, range(50) t(i)), d AS (SELECT g.batch, g.i, g.at, sum(exp(-0.5 * pow((g.at - v.x) / h, 2))) / any_value(n * h * sqrt(2 * pi())) AS density FROM g JOIN v USING (batch) GROUP BY 1, 2, 3)
-SELECT batch, CAST(i AS INTEGER) AS i, at, density / max(density) OVER (PARTITION BY batch) AS density FROM d""", doubles="at density")
+SELECT batch, CAST(i AS INTEGER) AS i, at AS grid_at, density / max(density) OVER (PARTITION BY batch) AS density FROM d""", doubles="grid_at density")
 def r24(spark, sf):
     v = T.gene_cells(spark, sf).groupBy("batch", "guide").agg((F.avg("cell_area") / 100000).alias("x"))
     return R.density_1d(v, "batch", "x", points=50)
@@ -280,7 +280,7 @@ def w9(spark, sf):
     return W.normalise_rows(T.gene_cells(spark, sf).groupBy("gene", "batch").agg(F.count(F.lit(1)).alias("c")), ["gene"], "c")
 
 
-@query("w11_step_delta", f"""WITH {T.SPATIAL}, s AS (SELECT well, y // 60 AS step, avg(f_k) AS score FROM spatial GROUP BY 1, 2) SELECT well, CAST(step AS BIGINT) AS step, score, score - lag(score) OVER (PARTITION BY well ORDER BY step) AS delta FROM s""", doubles="score delta")
+@query("w11_step_delta", f"""WITH {T.SPATIAL}, s AS (SELECT well, CAST(floor(y / 60) AS BIGINT) AS step, avg(f_k) AS score FROM spatial GROUP BY 1, 2) SELECT well, CAST(step AS BIGINT) AS step, score, score - lag(score) OVER (PARTITION BY well ORDER BY step) AS delta FROM s""", doubles="score delta")
 def w11(spark, sf):
     s = T.spatial(spark, sf).groupBy("well", F.floor(F.col("y") / 60).alias("step")).agg(F.avg("f_k").alias("score"))
     return W.step_delta(s, ["well"], "step", "score")
