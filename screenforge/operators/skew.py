@@ -157,8 +157,8 @@ def bh_adjust(df: DataFrame, keys: Sequence[str], p: str, alias: str = "p_adj",
     The adjusted value is the smallest p·m/rank over all p at least as large, capped at 1.
     """
     limit = group_limit(df.sparkSession) if limit is None else limit
-    df = df.withColumn("__p", F.coalesce(F.col(p), F.lit(1.0)))
-    df, ks = _with_key(df, keys)
+    df = df.withColumns({"__p": F.coalesce(F.col(p), F.lit(1.0)), "__set": F.lit(0)})
+    ks = [*keys, "__set"]
     ranks = value_ranks(df, ks, "__p", limit).withColumn(
         "__raw", F.least(F.lit(1.0), F.col("__p") * F.col("n_total") / (F.col("n_below") + F.col("n_equal")))
     )
@@ -175,7 +175,7 @@ def bh_adjust(df: DataFrame, keys: Sequence[str], p: str, alias: str = "p_adj",
         adj = ranged.withColumn("__here", F.min("__raw").over(up)).join(later, [*ks, "__range"]).select(
             *ks, "__p", F.least("__here", "__later").alias(alias)
         )
-    return df.join(adj, [*ks, "__p"]).drop("__p", "__all")
+    return df.join(adj, [*ks, "__p"]).drop("__p", "__set")
 
 
 def first_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

@@ -240,8 +240,8 @@ def r23(spark, sf):
 
 
 @query("r24_density_1d", f"""WITH {T.GENE_CELLS}, v AS (SELECT batch, avg(cell_area) / 100000 AS x FROM gene_cells GROUP BY batch, guide), s AS (SELECT batch, stddev_samp(x) * 0.3 AS h, count(*) AS n, min(x) AS lo, max(x) AS hi FROM v GROUP BY 1),
-g AS (SELECT batch, h, n, i, lo + (hi - lo) * i / 49.0::DOUBLE AS at FROM s, range(50) t(i)), d AS (SELECT g.batch, g.i, g.at, sum(exp(-0.5 * pow((g.at - v.x) / h, 2))) / any_value(n * h * sqrt(2 * pi())) AS density FROM g JOIN v USING (batch) GROUP BY 1, 2, 3)
-SELECT batch, CAST(i AS INTEGER) AS i, at AS grid_at, density / max(density) OVER (PARTITION BY batch) AS density FROM d""", doubles="grid_at density")
+g AS (SELECT batch, h, n, i, lo + (hi - lo) * i / 49.0::DOUBLE AS grid_at FROM s, range(50) t(i)), d AS (SELECT g.batch, g.i, g.grid_at, sum(exp(-0.5 * pow((g.grid_at - v.x) / h, 2))) / any_value(n * h * sqrt(2 * pi())) AS density FROM g JOIN v USING (batch) GROUP BY 1, 2, 3)
+SELECT batch, CAST(i AS INTEGER) AS i, grid_at, density / max(density) OVER (PARTITION BY batch) AS density FROM d""", doubles="grid_at density")
 def r24(spark, sf):
     v = T.gene_cells(spark, sf).groupBy("batch", "guide").agg((F.avg("cell_area") / 100000).alias("x"))
     return R.density_1d(v, "batch", "x", points=50)

@@ -78,15 +78,15 @@ def series(spark, sf):
     return p.select("well", F.col("mid").alias("x"), F.col("normalised").alias("y"))
 
 
-@query("d5_two_segment_break", f"""WITH {SERIES}, c AS (SELECT DISTINCT well, k - 1 AS i, m FROM pts WHERE k - 1 >= 2 AND k - 1 <= m - 3),
-s AS (SELECT c.well, c.i, {_sse("0", "c.i")} + {_sse("c.i", "c.m")} AS sse FROM c JOIN pts USING (well) GROUP BY c.well, c.i)
+@query("d5_two_segment_break", f"""WITH {SERIES}, cb AS (SELECT DISTINCT well, k - 1 AS i, m FROM pts WHERE k - 1 >= 2 AND k - 1 <= m - 3),
+s AS (SELECT cb.well, cb.i, {_sse("0", "cb.i")} + {_sse("cb.i", "cb.m")} AS sse FROM cb JOIN pts USING (well) GROUP BY cb.well, cb.i)
 SELECT s.well, p.x AS break_x, sse FROM s JOIN pts p ON p.well = s.well AND p.k = s.i + 1 QUALIFY row_number() OVER (PARTITION BY s.well ORDER BY sse, i) = 1""", doubles="break_x sse")
 def d5(spark, sf):
     return D.two_segment_break(series(spark, sf), ["well"], "x", "y")
 
 
-@query("d5_three_segment_break", f"""WITH {SERIES}, c AS (SELECT a.well, a.k - 1 AS i, b.k - 1 AS j, a.m FROM pts a JOIN pts b ON a.well = b.well AND b.k >= a.k + 2 WHERE a.k - 1 >= 2 AND a.k - 1 <= a.m - 5 AND b.k - 1 <= a.m - 3),
-s AS (SELECT c.well, c.i, c.j, any_value(c.m) AS m, {_sse("0", "c.i")} + {_sse("c.i", "c.j")} + {_sse("c.j", "c.m")} AS sse FROM c JOIN pts USING (well) GROUP BY c.well, c.i, c.j),
+@query("d5_three_segment_break", f"""WITH {SERIES}, cb AS (SELECT a.well, a.k - 1 AS i, b.k - 1 AS j, a.m FROM pts a JOIN pts b ON a.well = b.well AND b.k >= a.k + 2 WHERE a.k - 1 >= 2 AND a.k - 1 <= a.m - 5 AND b.k - 1 <= a.m - 3),
+s AS (SELECT cb.well, cb.i, cb.j, any_value(cb.m) AS m, {_sse("0", "cb.i")} + {_sse("cb.i", "cb.j")} + {_sse("cb.j", "cb.m")} AS sse FROM cb JOIN pts USING (well) GROUP BY cb.well, cb.i, cb.j),
 best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY well ORDER BY sse, i, j) = 1), ends AS (SELECT well, (min(x) + max(x)) / 2 AS mid FROM pts GROUP BY 1)
 SELECT best.well, CASE WHEN pi.x < mid THEN pj.x ELSE pi.x END AS break_x, sse FROM best JOIN ends USING (well) JOIN pts pi ON pi.well = best.well AND pi.k = best.i + 1 JOIN pts pj ON pj.well = best.well AND pj.k = best.j + 1""", doubles="break_x sse")
 def d5t(spark, sf):
@@ -98,8 +98,8 @@ def d6(spark, sf):
     return D.second_derivative_break(series(spark, sf), ["well"], "x", "y")
 
 
-@query("d7_share_beyond_break", f"""WITH {SERIES}, c AS (SELECT DISTINCT well, k - 1 AS i, m FROM pts WHERE k - 1 >= 2 AND k - 1 <= m - 3),
-s AS (SELECT c.well, c.i, {_sse("0", "c.i")} + {_sse("c.i", "c.m")} AS sse FROM c JOIN pts USING (well) GROUP BY c.well, c.i),
+@query("d7_share_beyond_break", f"""WITH {SERIES}, cb AS (SELECT DISTINCT well, k - 1 AS i, m FROM pts WHERE k - 1 >= 2 AND k - 1 <= m - 3),
+s AS (SELECT cb.well, cb.i, {_sse("0", "cb.i")} + {_sse("cb.i", "cb.m")} AS sse FROM cb JOIN pts USING (well) GROUP BY cb.well, cb.i),
 br AS (SELECT s.well, p.x AS break_x FROM s JOIN pts p ON p.well = s.well AND p.k = s.i + 1 QUALIFY row_number() OVER (PARTITION BY s.well ORDER BY sse, i) = 1)
 SELECT well, count(*) AS n_cells, count(*) FILTER (radial > break_x) AS n_beyond, avg(CASE WHEN radial > break_x THEN 1.0 ELSE 0 END) * 100 AS pct_beyond FROM rd JOIN br USING (well) GROUP BY 1""", doubles="pct_beyond")
 def d7(spark, sf):
