@@ -17,18 +17,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 1024
+MAX_PARTITIONS = 20_000
+
+
+def own_columns(df: DataFrame) -> DataFrame:
+    """The same rows under new column identities, so a table can be grouped with itself."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
 
 
 def tile_reduce(
     left: DataFrame, right: DataFrame, fn: Callable[[pa.Table, pa.Table], pa.Table], schema: str, block_rows: int = BLOCK_ROWS,
-    left_id: str = "id", right_id: str = "id",
+    left_id: str = "id", right_id: str = "id", left_rows: int | None = None, right_rows: int | None = None,
 ) -> DataFrame:
-    """Apply ``fn`` to every (left block, right block) tile. Empty blocks produce no tile."""
-    nl = max(1, -(-left.count() // block_rows))
-    nr = max(1, -(-right.count() // block_rows))
+    """Apply ``fn`` to every (left block, right block) tile. Empty blocks produce no tile.
+
+    Row counts may be given where the caller knows them; they only set the number of blocks.
+    """
+    nl = max(1, -(-(left.count() if left_rows is None else left_rows) // block_rows))
+    nr = max(1, -(-(right.count() if right_rows is None else right_rows) // block_rows))
+    parts = min(nl * nr, MAX_PARTITIONS)
     block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     l = left.withColumns({"__l": block(left_id, nl), "__r": F.explode(F.sequence(F.lit(0), F.lit(nr - 1)))})
     r = right.withColumns({"__r": block(right_id, nr), "__l": F.explode(F.sequence(F.lit(0), F.lit(nl - 1)))})
+    # tiles are few bytes but much work: keep their number of tasks instead of letting AQE merge them
+    l = l.repartition(parts, "__l", "__r")
+    r = own_columns(r).repartition(parts, "__l", "__r")
     names = [part.strip().split()[0] for part in schema.split(",")]
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:

@@ -23,8 +23,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from screenforge.functions.scalars import harmonic
-from screenforge.operators.pairs import BLOCK_ROWS, matrix, tile_reduce, unit_rows
+from screenforge.operators.pairs import BLOCK_ROWS, matrix, own_columns, tile_reduce, unit_rows
 from screenforge.operators.skew import bh_adjust
+from screenforge.session import checkpointed
 
 STEPS = 1_000_000
 SPAN = 4 * STEPS
@@ -46,6 +47,7 @@ def _positive_steps(queries: DataFrame, refs: DataFrame, subsets: list, block_ro
     bucket = F.pmod(F.xxhash64("label"), F.lit(buckets)).cast("int")
     l = queries.select("id", "label", "features").join(sizes, "label").select("id", "label", "features", bucket.alias("__g"), place.alias("__l"), F.explode(spread).alias("__r"))
     rr = r.join(sizes, "label").select("id", "label", "features", bucket.alias("__g"), place.alias("__r"), F.explode(spread).alias("__l"))
+    rr = own_columns(rr)
     id_type, label_type = queries.schema["id"].dataType.simpleString(), queries.schema["label"].dataType.simpleString()
 
     def count(a: pa.Table, b: pa.Table) -> pa.Table:
@@ -81,7 +83,7 @@ def _positive_steps(queries: DataFrame, refs: DataFrame, subsets: list, block_ro
     return found.groupBy("id", "label", "code").agg(F.sum("n_pos").alias("n_pos"))
 
 
-def _negative_steps(thresholds: DataFrame, refs: DataFrame, subsets: list, block_rows: int) -> DataFrame:
+def _negative_steps(thresholds: DataFrame, refs: DataFrame, subsets: list, block_rows: int, n_queries: int) -> DataFrame:
     """(id, label, code, n_neg): negatives at or above a positive step and below the next one up."""
     id_type, label_type = thresholds.schema["id"].dataType.simpleString(), thresholds.schema["label"].dataType.simpleString()
     r = refs.where("negative").select(F.col("id").alias("ref_id"), "labels", "features")
@@ -115,7 +117,7 @@ def _negative_steps(thresholds: DataFrame, refs: DataFrame, subsets: list, block
         })
 
     q = thresholds.select("id", "label", "features", "steps")
-    per = tile_reduce(q, r, count, f"id {id_type}, label {label_type}, code long, n_neg long", block_rows, right_id="ref_id")
+    per = tile_reduce(q, r, count, f"id {id_type}, label {label_type}, code long, n_neg long", block_rows, right_id="ref_id", left_rows=n_queries)
     return per.groupBy("id", "label", "code").agg(F.sum("n_neg").alias("n_neg"))
 
 
@@ -130,9 +132,10 @@ def average_precision(
     """
     named = subsets or {"all": None}
     names, dims = list(named), [None if d is None else list(d) for d in named.values()]
-    pos = _positive_steps(queries, refs, dims, block_rows)
+    # both reductions read the positives; writing them once keeps the first from running again
+    pos = checkpointed(_positive_steps(queries, refs, dims, block_rows))
     steps = pos.groupBy("id", "label").agg(F.sort_array(F.collect_list("code")).alias("steps"))
-    neg = _negative_steps(queries.select("id", "label", "features").join(steps, ["id", "label"]), refs, dims, block_rows)
+    neg = _negative_steps(queries.select("id", "label", "features").join(steps, ["id", "label"]), refs, dims, block_rows, queries.count())
     j = pos.join(neg, ["id", "label", "code"], "left").fillna(0, ["n_neg"])
     j = j.withColumn("__v", F.floor(F.col("code") / SPAN).cast("int"))
     down = Window.partitionBy("id", "label", "__v").orderBy(F.col("code").desc())
@@ -228,6 +231,7 @@ def significance(ap: DataFrame, null_size: int = 10_000, seed: int = 42, alpha:
     Labels whose queries have the same mix of (positives, ranks) share one null, which is a
     sorted array of ``null_size`` values; each label counts in it row-locally.
     """
+    ap = checkpointed(ap)
     m = mean_average_precision(ap)
     c = ap.withColumn("n_total", F.col("n_pos") + F.col("n_neg")).groupBy("variant", "label", "n_pos", "n_total").agg(F.count(F.lit(1)).alias("k"))
     mix = c.groupBy("variant", "label").agg(F.sort_array(F.collect_list(F.struct("n_pos", "n_total", "k"))).alias("mix"))
@@ -240,7 +244,7 @@ def significance(ap: DataFrame, null_size: int = 10_000, seed: int = 42, alpha:
     j = m.join(mix, ["variant", "label"]).join(arrays, "mix")
     at_least = F.size(F.filter("null", lambda v: v >= F.col("mean_average_precision") - 1e-12))
     p = j.select(F.col("variant"), F.col("label").alias("perturbation"), "mean_average_precision", "n_queries", ((at_least + 1) / (null_size + 1)).alias("p_value"))
-    out = bh_adjust(p, ["variant"], "p_value", "corrected_p_value")
+    out = bh_adjust(checkpointed(p), ["variant"], "p_value", "corrected_p_value")
     return out.withColumn("below_corrected_p", F.col("corrected_p_value") < alpha)
 
 

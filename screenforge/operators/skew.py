@@ -159,22 +159,24 @@ def bh_adjust(df: DataFrame, keys: Sequence[str], p: str, alias: str = "p_adj",
     limit = group_limit(df.sparkSession) if limit is None else limit
     df = df.withColumns({"__p": F.coalesce(F.col(p), F.lit(1.0)), "__set": F.lit(0)})
     ks = [*keys, "__set"]
+    if largest_group(df, ks) <= limit:
+        w = Window.partitionBy(*ks)
+        at_or_below = F.count(F.lit(1)).over(w.orderBy("__p").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        raw = df.withColumn("__raw", F.least(F.lit(1.0), F.col("__p") * F.count(F.lit(1)).over(w) / at_or_below))
+        up = w.orderBy(F.col("__p").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        return raw.withColumn(alias, F.min("__raw").over(up)).drop("__p", "__set", "__raw")
     ranks = value_ranks(df, ks, "__p", limit).withColumn(
         "__raw", F.least(F.lit(1.0), F.col("__p") * F.col("n_total") / (F.col("n_below") + F.col("n_equal")))
     )
-    if largest_group(ranks, ks) <= limit:
-        up = Window.partitionBy(*ks).orderBy(F.col("__p").desc()).rowsBetween(Window.unboundedPreceding, 0)
-        adj = ranks.select(*ks, "__p", F.min("__raw").over(up).alias(alias))
-    else:
-        ranged = value_ranges(ranks, ks, "__p")
-        above = Window.partitionBy(*ks).orderBy(F.col("__range").desc()).rowsBetween(Window.unboundedPreceding, -1)
-        later = ranged.groupBy(*ks, "__range").agg(F.min("__raw").alias("__m")).select(
-            *ks, "__range", F.min("__m").over(above).alias("__later")
-        )
-        up = Window.partitionBy(*ks, "__range").orderBy(F.col("__p").desc()).rowsBetween(Window.unboundedPreceding, 0)
-        adj = ranged.withColumn("__here", F.min("__raw").over(up)).join(later, [*ks, "__range"]).select(
-            *ks, "__p", F.least("__here", "__later").alias(alias)
-        )
+    ranged = value_ranges(ranks, ks, "__p")
+    above = Window.partitionBy(*ks).orderBy(F.col("__range").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    later = ranged.groupBy(*ks, "__range").agg(F.min("__raw").alias("__m")).select(
+        *ks, "__range", F.min("__m").over(above).alias("__later")
+    )
+    up = Window.partitionBy(*ks, "__range").orderBy(F.col("__p").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    adj = ranged.withColumn("__here", F.min("__raw").over(up)).join(later, [*ks, "__range"]).select(
+        *ks, "__p", F.least("__here", "__later").alias(alias)
+    )
     return df.join(adj, [*ks, "__p"]).drop("__p", "__set")
 
 

@@ -136,16 +136,16 @@ def _key(exprs):
 
 
 @query("q12_backward_elimination", f"""WITH {_SCORES_SQL}, s0 AS (SELECT ['r0', 'r1', 'r2', 'r3'] AS l),
-s1 AS (SELECT c AS d, list_filter(l, x -> x <> c) AS l, s FROM (SELECT l, unnest(l) AS c FROM s0) JOIN sc ON variant = {_key("list_filter(l, x -> x <> c)")} ORDER BY s DESC, c LIMIT 1),
-s2 AS (SELECT c AS d, list_filter(l, x -> x <> c) AS l, sc.s FROM (SELECT l, unnest(l) AS c FROM s1) JOIN sc ON variant = {_key("list_filter(l, x -> x <> c)")} ORDER BY sc.s DESC, c LIMIT 1),
-s3 AS (SELECT c AS d, list_filter(l, x -> x <> c) AS l, sc.s FROM (SELECT l, unnest(l) AS c FROM s2) JOIN sc ON variant = {_key("list_filter(l, x -> x <> c)")} ORDER BY sc.s DESC, c LIMIT 1)
+s1 AS (SELECT c AS d, [x for x in l if x <> c] AS l, s FROM (SELECT l, unnest(l) AS c FROM s0) JOIN sc ON variant = {_key("[x for x in l if x <> c]")} ORDER BY s DESC, c LIMIT 1),
+s2 AS (SELECT c AS d, [x for x in l if x <> c] AS l, sc.s FROM (SELECT l, unnest(l) AS c FROM s1) JOIN sc ON variant = {_key("[x for x in l if x <> c]")} ORDER BY sc.s DESC, c LIMIT 1),
+s3 AS (SELECT c AS d, [x for x in l if x <> c] AS l, sc.s FROM (SELECT l, unnest(l) AS c FROM s2) JOIN sc ON variant = {_key("[x for x in l if x <> c]")} ORDER BY sc.s DESC, c LIMIT 1)
 SELECT 0 AS step, '(none)' AS label, 4 AS n_remaining, s AS score FROM sc WHERE variant = 'r0+r1+r2+r3' UNION ALL SELECT 1, d, 3, s FROM s1 UNION ALL SELECT 2, d, 2, s FROM s2 UNION ALL SELECT 3, d, 1, s FROM s3""", doubles="score")
 def q12(spark, sf):
     return AT.backward_elimination(T.profiles(spark, sf), REPORTERS, battery)
 
 
 def _fwd(prev):
-    return f"""(SELECT c AS d, list_append(l, c) AS l, sc.s FROM (SELECT l, unnest(list_filter(['r0', 'r1', 'r2', 'r3'], x -> NOT list_contains(l, x))) AS c FROM {prev}) JOIN sc ON variant = {_key("list_append(l, c)")} ORDER BY sc.s DESC, c LIMIT 1)"""
+    return f"""(SELECT c AS d, list_append(l, c) AS l, sc.s FROM (SELECT l, unnest([x for x in ['r0', 'r1', 'r2', 'r3'] if NOT list_contains(l, x)]) AS c FROM {prev}) JOIN sc ON variant = {_key("list_append(l, c)")} ORDER BY sc.s DESC, c LIMIT 1)"""
 
 
 @query("q13_forward_selection", f"""WITH {_SCORES_SQL}, s1 AS (SELECT 'r2' AS d, ['r2'] AS l, s FROM sc WHERE variant = 'r2'), s2 AS {_fwd("s1")}, s3 AS {_fwd("s2")}, s4 AS {_fwd("s3")}
