@@ -198,14 +198,16 @@ def communities(edges: DataFrame, max_rounds: int = 20) -> DataFrame:
     both = checkpointed(edges.select(F.col("src").alias("id"), F.col("dst").alias("other"), "weight").union(edges.select(F.col("dst"), F.col("src"), "weight")))
     labels = checkpointed(both.select("id").distinct().withColumn("community", F.col("id")))
     quiet = 0
-    for r in range(max_rounds * 2):
-        votes = both.join(labels.select(F.col("id").alias("other"), F.col("community").alias("c")), "other").groupBy("id", "c").agg(F.sum("weight").alias("w"))
-        best = votes.groupBy("id").agg(F.min_by(F.struct("c", "w"), F.struct((-F.round("w", 9)).alias("a"), F.col("c").alias("b"))).alias("b"))
-        own = votes.join(labels, (votes["id"] == labels["id"]) & (votes["c"] == labels["community"])).select(votes["id"], F.col("w").alias("own"))
-        turn = F.pmod(F.xxhash64("id"), F.lit(2)) == r % 2
-        better = turn & (F.round("b.w", 9) > F.round(F.coalesce("own", F.lit(0.0)), 9))
-        moved = labels.join(best, "id").join(own, "id", "left").select("id", F.when(better, F.col("b.c")).otherwise(F.col("community")).alias("community"), better.alias("moved"))
-        moved = checkpointed(moved)
+    for r in range(max_rounds):
+        given = labels.select(F.col("id").alias("other"), F.col("community").alias("c"))
+        votes = both.join(given, "other").groupBy("id", "c").agg(F.round(F.sum("weight"), 9).alias("w"))
+        mine = labels.select(F.col("id"), F.col("community").alias("now"))
+        best = votes.join(mine, "id").groupBy("id", "now").agg(
+            F.min_by(F.struct("c", "w"), F.struct((-F.col("w")).alias("a"), F.col("c").alias("b"))).alias("best"),
+            F.coalesce(F.max(F.when(F.col("c") == F.col("now"), F.col("w"))), F.lit(0.0)).alias("own"),
+        )
+        better = (F.pmod(F.xxhash64("id"), F.lit(2)) == r % 2) & (F.col("best.w") > F.col("own"))
+        moved = checkpointed(best.select("id", F.when(better, F.col("best.c")).otherwise(F.col("now")).alias("community"), better.alias("moved")))
         labels = moved.select("id", "community")
         quiet = quiet + 1 if moved.where("moved").isEmpty() else 0
         if quiet == 2:

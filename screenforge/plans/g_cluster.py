@@ -82,7 +82,7 @@ def m9(spark, sf):
     from screenforge.session import checkpointed
 
     e = checkpointed(e)
-    return C.modularity(e, C.communities(e))
+    return C.modularity(e, C.communities(e, max_rounds=10))
 
 
 @query("m10_label_propagation", f"""WITH {P}, s AS (SELECT * FROM profiles WHERE id % 5 = 0), n AS (SELECT a.id, s.perturbation, list_distance(a.features, s.features) AS distance, s.id AS sid FROM profiles a JOIN s ON a.id % 5 <> 0)
