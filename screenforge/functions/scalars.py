@@ -260,10 +260,9 @@ def blob_sigma(diameter_um: Column, pixel_size: Column) -> Column:
 def harmonic(x: Column) -> Column:
     """H(x) for integer x >= 0 from its asymptotic series shifted by ten, good to 1e-14."""
     y = x.cast("double") + 10.0
-    series = (
-        F.log(y) + 0.5772156649015329 + 1 / (2 * y) - 1 / (12 * y * y)
-        + 1 / (120 * y * y * y * y) - 1 / (252 * y * y * y * y * y * y)
-    )
+    q = 1 / (y * y)
+    tail = F.lit(1 / 12) - q * (F.lit(1 / 120) - q * (F.lit(1 / 252) - q * (F.lit(1 / 240) - q * F.lit(1 / 132))))
+    series = F.log(y) + 0.5772156649015329 + 1 / (2 * y) - q * tail
     for j in range(1, 11):
         series = series - 1 / (x.cast("double") + float(j))
     return series
