@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from screenforge.functions.scalars import harmonic
-from screenforge.operators.pairs import BLOCK_ROWS, matrix, own_columns, tile_reduce, unit_rows
+from screenforge.operators.pairs import BLOCK_ROWS, MAX_PARTITIONS, matrix, own_columns, tile_reduce, unit_rows
 from screenforge.operators.skew import bh_adjust
 from screenforge.session import checkpointed
 
@@ -37,48 +37,51 @@ def _codes(x: np.ndarray, y: np.ndarray, dims: Sequence[int] | None, variant: in
     return np.rint(unit_rows(a) @ unit_rows(b).T * STEPS).astype(np.int64) + STEPS + 1 + variant * SPAN
 
 
+def _counted(rows: np.ndarray, codes: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, code, count) of the kept entries of a block, equal codes of a row combined."""
+    top = int(codes.max()) + 1
+    flat = (np.arange(len(rows))[:, None] * top + codes)[keep]
+    key, n = np.unique(flat, return_counts=True)
+    return rows[key // top], key % top, n
+
+
+def _table(a: pa.Table, found: list, name: str) -> pa.Table:
+    """Result rows of a tile; ids and labels are taken from the query side by position."""
+    cat = lambda i: np.concatenate([f[i] for f in found]).astype(np.int64) if found else np.zeros(0, np.int64)
+    rows = pa.array(cat(0), pa.int64())
+    q = a.select(["id", "label"]).take(rows)
+    return q.append_column("code", pa.array(cat(1), pa.int64())).append_column(name, pa.array(cat(2), pa.int64()))
+
+
 def _positive_steps(queries: DataFrame, refs: DataFrame, subsets: list, block_rows: int) -> DataFrame:
     """(id, label, code, n_pos): positives of each query per similarity step."""
     r = refs.select("id", F.explode("labels").alias("label"), "features")
     sizes = r.groupBy("label").agg(F.count(F.lit(1)).alias("__n")).withColumn("__b", F.ceil(F.col("__n") / block_rows).cast("int"))
-    buckets = max(1, -(-r.count() // block_rows))
+    buckets = max(1, -(-4 * r.count() // block_rows))
     spread = F.sequence(F.lit(0), F.col("__b") - 1)
     place = F.pmod(F.xxhash64("id"), F.col("__b")).cast("int")
     bucket = F.pmod(F.xxhash64("label"), F.lit(buckets)).cast("int")
     l = queries.select("id", "label", "features").join(sizes, "label").select("id", "label", "features", bucket.alias("__g"), place.alias("__l"), F.explode(spread).alias("__r"))
     rr = r.join(sizes, "label").select("id", "label", "features", bucket.alias("__g"), place.alias("__r"), F.explode(spread).alias("__l"))
-    rr = own_columns(rr)
+    rr = own_columns(rr)  # a self-join otherwise
     id_type, label_type = queries.schema["id"].dataType.simpleString(), queries.schema["label"].dataType.simpleString()
 
     def count(a: pa.Table, b: pa.Table) -> pa.Table:
-        ids, labels, code, n = [], [], [], []
+        found = []
         if a.num_rows and b.num_rows:
             x, y = matrix(a), matrix(b)
-            qi, ql, ri = a.column("id").to_pylist(), a.column("label").to_pylist(), np.asarray(b.column("id").to_pylist(), dtype=object)
-            where: dict = {}
-            for j, lab in enumerate(b.column("label").to_pylist()):
-                where.setdefault(lab, []).append(j)
-            rows_of: dict = {}
-            for i, lab in enumerate(ql):
-                rows_of.setdefault(lab, []).append(i)
-            for lab, rows in rows_of.items():
-                cols = where.get(lab)
-                if not cols:
-                    continue
+            qi, ri = np.asarray(a.column("id").to_pylist(), dtype=object), np.asarray(b.column("id").to_pylist(), dtype=object)
+            ql, rl = np.asarray(a.column("label").to_pylist(), dtype=object), np.asarray(b.column("label").to_pylist(), dtype=object)
+            for lab in set(ql.tolist()) & set(rl.tolist()):
+                rows, cols = np.flatnonzero(ql == lab), np.flatnonzero(rl == lab)
+                other = (qi[rows][:, None] != ri[cols][None, :]).astype(bool)
                 for v, dims in enumerate(subsets):
-                    c = _codes(x[rows], y[cols], dims, v)
-                    for i, row in enumerate(rows):
-                        steps, times = np.unique(c[i][ri[cols] != qi[row]], return_counts=True)
-                        ids += [qi[row]] * len(steps)
-                        labels += [lab] * len(steps)
-                        code += steps.tolist()
-                        n += times.tolist()
-        return pa.table({
-            "id": pa.array(ids, a.schema.field("id").type), "label": pa.array(labels, a.schema.field("label").type),
-            "code": pa.array(code, pa.int64()), "n_pos": pa.array(n, pa.int64()),
-        })
+                    found.append(_counted(rows, _codes(x[rows], y[cols], dims, v), other))
+        return _table(a, found, "n_pos")
 
     keys = ["__g", "__l", "__r"]
+    parts = min(buckets * 8, MAX_PARTITIONS)
+    l, rr = l.repartition(parts, *keys), rr.repartition(parts, *keys)
     found = l.groupBy(*keys).cogroup(rr.groupBy(*keys)).applyInArrow(count, f"id {id_type}, label {label_type}, code long, n_pos long")
     return found.groupBy("id", "label", "code").agg(F.sum("n_pos").alias("n_pos"))
 
@@ -89,32 +92,27 @@ def _negative_steps(thresholds: DataFrame, refs: DataFrame, subsets: list, block
     r = refs.where("negative").select(F.col("id").alias("ref_id"), "labels", "features")
 
     def count(a: pa.Table, b: pa.Table) -> pa.Table:
-        ids, labels, code, n = [], [], [], []
+        found = []
         if a.num_rows and b.num_rows:
             x, y = matrix(a), matrix(b)
             member: dict = {}
             for j, labs in enumerate(b.column("labels").to_pylist()):
                 for lab in labs or ():
                     member.setdefault(lab, []).append(j)
-            qi, ql = a.column("id").to_pylist(), a.column("label").to_pylist()
+            ql = a.column("label").to_pylist()
             steps = [np.asarray(s, dtype=np.int64) for s in a.column("steps").to_pylist()]
             for v, dims in enumerate(subsets):
                 c = _codes(x, y, dims, v)
-                for i in range(len(qi)):
+                for i in range(len(ql)):
                     lo, hi = np.searchsorted(steps[i], [v * SPAN, (v + 1) * SPAN])
                     if lo == hi:
                         continue
                     neg = np.delete(c[i], member[ql[i]]) if ql[i] in member else c[i]
                     at = np.searchsorted(steps[i][lo:hi], neg, side="right") - 1
-                    k, times = np.unique(at[at >= 0], return_counts=True)
-                    ids += [qi[i]] * len(k)
-                    labels += [ql[i]] * len(k)
-                    code += steps[i][lo:hi][k].tolist()
-                    n += times.tolist()
-        return pa.table({
-            "id": pa.array(ids, a.schema.field("id").type), "label": pa.array(labels, a.schema.field("label").type),
-            "code": pa.array(code, pa.int64()), "n_neg": pa.array(n, pa.int64()),
-        })
+                    times = np.bincount(at[at >= 0], minlength=1)
+                    k = np.flatnonzero(times)
+                    found.append((np.full(len(k), i), steps[i][lo:hi][k], times[k]))
+        return _table(a, found, "n_neg")
 
     q = thresholds.select("id", "label", "features", "steps")
     per = tile_reduce(q, r, count, f"id {id_type}, label {label_type}, code long, n_neg long", block_rows, right_id="ref_id", left_rows=n_queries)

@@ -1,7 +1,7 @@
 """Exact order statistics that hold when one group has a large share of all rows.
 
-Each operator first reads the size of the largest group (a counted, map-side combined job on
-the key columns only). Up to the session's group limit the built-in aggregate or window is
+Each operator first bounds the size of the largest group: by the row count, and where that is
+above the limit by a map-side combined count on the key columns only. Up to the session's group limit the built-in aggregate or window is
 used. Beyond it, the group is cut into value ranges whose bounds come from a mergeable sketch,
 ranks are counted per range, and only range totals meet in one place. Both ways give the same,
 exact answer.
@@ -20,9 +20,15 @@ SKETCH_ACCURACY = 10_000
 RANGES = 256
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    if not keys:
-        return df.count()
+def largest_group(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> int:
+    """Rows of the largest group, or the number of all rows where that already is within the limit.
+
+    Counting rows needs no shuffle, so small inputs never pay for the grouped count.
+    """
+    limit = group_limit(df.sparkSession) if limit is None else limit
+    n = df.count()
+    if not keys or n <= limit:
+        return n
     return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
 
 
@@ -40,7 +46,7 @@ def quantiles(
     sizes = df.groupBy(*ks).agg(F.count(value).alias("__n"))
     probs = [float(p) for p in probs]
     direct = F.percentile(value, F.array(*[F.lit(p) for p in probs])).alias(alias)
-    if (sizes.agg(F.max("__n")).first()[0] or 0) <= limit:
+    if largest_group(df, ks, limit) <= limit:
         out = df.groupBy(*ks).agg(direct)
     else:
         hot = sizes.where(F.col("__n") > limit)
@@ -102,7 +108,7 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str, limit: int | Non
     df, ks = _with_key(df.where(F.col(value).isNotNull()), keys)
     limit = group_limit(df.sparkSession) if limit is None else limit
     counts = df.groupBy(*ks, value).agg(F.count(F.lit(1)).alias("n_equal"))
-    if largest_group(counts, ks) <= limit:
+    if largest_group(df, ks, limit) <= limit:
         run = Window.partitionBy(*ks).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
         out = counts.withColumn("n_below", F.coalesce(F.sum("n_equal").over(run), F.lit(0))).withColumn(
             "n_total", F.sum("n_equal").over(Window.partitionBy(*ks))
@@ -140,7 +146,7 @@ def _ranged_ranks(counts: DataFrame, ks: list[str], value: str) -> DataFrame:
 def average_rank(df: DataFrame, keys: Sequence[str], value: str, alias: str, limit: int | None = None) -> DataFrame:
     """Rank with ties averaged. Small groups rank in place; otherwise ranks join back by value."""
     limit = group_limit(df.sparkSession) if limit is None else limit
-    if largest_group(df, keys) <= limit:
+    if largest_group(df, keys, limit) <= limit:
         w = Window.partitionBy(*keys).orderBy(value)
         ties = Window.partitionBy(*keys, value)
         rank = F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2
@@ -159,7 +165,7 @@ def bh_adjust(df: DataFrame, keys: Sequence[str], p: str, alias: str = "p_adj",
     limit = group_limit(df.sparkSession) if limit is None else limit
     df = df.withColumns({"__p": F.coalesce(F.col(p), F.lit(1.0)), "__set": F.lit(0)})
     ks = [*keys, "__set"]
-    if largest_group(df, ks) <= limit:
+    if largest_group(df, ks, limit) <= limit:
         w = Window.partitionBy(*ks)
         at_or_below = F.count(F.lit(1)).over(w.orderBy("__p").rangeBetween(Window.unboundedPreceding, Window.currentRow))
         raw = df.withColumn("__raw", F.least(F.lit(1.0), F.col("__p") * F.count(F.lit(1)).over(w) / at_or_below))

@@ -13,7 +13,10 @@ from screenforge.operators.longform import to_long
 from screenforge.plans import tables as T
 from screenforge.plans.registry import query
 
-CONTROL = is_control_by_name(F.col("gene"))
+
+def control():
+    return is_control_by_name(F.col("gene"))
+
 # features named per organelle, as in a screen's feature table
 LONG = T.OBJECT_LONG + ", l AS (SELECT cell_id, organelle, guide, gene, well, organelle || '_' || feature AS feature, value FROM object_long)"
 
@@ -31,7 +34,7 @@ WELCH = """(mean - control_mean) / sqrt(std * std / n + control_std * control_st
 @query("r1_control_z", f"""WITH {LONG}, c AS (SELECT feature, avg(value) AS mu, stddev_samp(value) AS sd FROM l WHERE gene = '0' GROUP BY 1),
 z AS (SELECT gene, l.feature, (value - mu) / nullif(sd, 0) AS z FROM l LEFT JOIN c USING (feature)) SELECT gene, feature, avg(z) AS mean_z, max(z) AS max_z FROM z GROUP BY 1, 2""", doubles="mean_z max_z")
 def r1(spark, sf):
-    z = R.normalise(long(spark, sf), CONTROL)
+    z = R.normalise(long(spark, sf), control())
     return z.groupBy("gene", "feature").agg(F.avg("z").alias("mean_z"), F.max("z").alias("max_z"))
 
 
@@ -75,41 +78,41 @@ def r4(spark, sf):
 @query("r5_differential_features", f"""WITH {LONG}, {MOMENTS} SELECT feature, mean, std, n, control_mean, control_std, control_n, (mean - control_mean) / control_std AS z, mean / nullif(control_mean, 0) AS fold_change,
  log2((mean + 1e-10) / (control_mean + 1e-10)) AS log2_fc, {WELCH} FROM m WHERE control_std > 1e-6""", doubles="mean std control_mean control_std z fold_change log2_fc t dof", digits=4)
 def r5(spark, sf):
-    return R.differential_features(long(spark, sf), CONTROL, with_p=False)
+    return R.differential_features(long(spark, sf), control(), with_p=False)
 
 
 @query("r5_differential_p_values")
 def r5p(spark, sf):
-    return R.differential_features(long(spark, sf), CONTROL)
+    return R.differential_features(long(spark, sf), control())
 
 
 @query("r6_gene_feature_volcano", f"""WITH {LONG}, c AS (SELECT feature, avg(value) AS control_mean, stddev_samp(value) AS control_std, count(value) AS control_n FROM l WHERE gene = '0' GROUP BY 1),
 g AS (SELECT gene, feature, avg(value) AS mean, stddev_samp(value) AS std, count(value) AS n FROM l WHERE gene <> '0' GROUP BY 1, 2 HAVING count(value) >= 2)
 SELECT gene, feature, mean, n, log2((mean + 1e-10) / (control_mean + 1e-10)) AS log2_fc, {WELCH} FROM g JOIN c USING (feature)""", doubles="mean log2_fc t dof", digits=4)
 def r6(spark, sf):
-    v = R.gene_feature_volcano(long(spark, sf), CONTROL, with_p=False)
+    v = R.gene_feature_volcano(long(spark, sf), control(), with_p=False)
     return v.select("gene", "feature", "mean", "n", "log2_fc", "t", "dof")
 
 
 @query("r6_gene_feature_p_values")
 def r6p(spark, sf):
-    return R.gene_feature_volcano(long(spark, sf), CONTROL)
+    return R.gene_feature_volcano(long(spark, sf), control())
 
 
 @query("r7_legacy_volcano")
 def r7(spark, sf):
-    return R.legacy_volcano(long(spark, sf), CONTROL)
+    return R.legacy_volcano(long(spark, sf), control())
 
 
 @query("r8_pooled_volcano", f"""WITH {LONG}, {MOMENTS}, p AS (SELECT *, CAST(n + control_n - 2 AS DOUBLE) AS dof, ((n - 1) * std * std + (control_n - 1) * control_std * control_std) / (n + control_n - 2) AS v FROM m)
 SELECT feature, mean - control_mean AS difference, (mean - control_mean) / sqrt(v * (1.0::DOUBLE / n + 1.0::DOUBLE / control_n)) AS t, dof FROM p""", doubles="difference t dof", digits=4)
 def r8(spark, sf):
-    return R.pooled_volcano(long(spark, sf), CONTROL, with_p=False).select("feature", "difference", "t", "dof")
+    return R.pooled_volcano(long(spark, sf), control(), with_p=False).select("feature", "difference", "t", "dof")
 
 
 @query("r8_pooled_p_values")
 def r8p(spark, sf):
-    return R.pooled_volcano(long(spark, sf), CONTROL)
+    return R.pooled_volcano(long(spark, sf), control())
 
 
 _GZ = """c AS (SELECT feature, avg(value) AS mu, stddev_samp(value) AS sd FROM l WHERE gene = '0' GROUP BY 1 HAVING stddev_samp(value) > 1e-6),
@@ -118,12 +121,12 @@ g AS (SELECT gene, feature, avg(value) AS m, count(value) AS n FROM l WHERE gene
 
 @query("r9_feature_ranking_z", f"""WITH {LONG}, {_GZ} SELECT feature, avg(abs((m - mu) / sd)) AS score, count(*) AS n_groups FROM g JOIN c USING (feature) GROUP BY 1 ORDER BY score DESC, feature LIMIT 10""", doubles="score")
 def r9(spark, sf):
-    return R.feature_ranking(long(spark, sf), CONTROL, 10)
+    return R.feature_ranking(long(spark, sf), control(), 10)
 
 
 @query("r10_feature_ranking_fc", f"""WITH {LONG}, {_GZ} SELECT feature, avg(abs(log2((m + 1e-10) / (mu + 1e-10)))) AS score, count(*) AS n_groups FROM g JOIN c USING (feature) GROUP BY 1 ORDER BY score DESC, feature LIMIT 10""", doubles="score")
 def r10(spark, sf):
-    return R.feature_ranking(long(spark, sf), CONTROL, 10, by="fc")
+    return R.feature_ranking(long(spark, sf), control(), 10, by="fc")
 
 
 @query("r11_organelle_contribution", f"""WITH {T.OBJECT_LONG}, c AS (SELECT organelle, feature, avg(value) AS mu, stddev_samp(value) AS sd FROM object_long WHERE gene = '0' GROUP BY 1, 2),
@@ -131,7 +134,7 @@ g AS (SELECT gene, organelle, feature, avg(value) AS m FROM object_long WHERE ge
 s AS (SELECT gene, organelle, avg(abs((m - mu) / CASE WHEN coalesce(sd, 0) = 0 THEN 1 ELSE sd END)) AS score FROM g JOIN c USING (organelle, feature) GROUP BY 1, 2)
 SELECT gene, organelle, score, score / sum(score) OVER (PARTITION BY gene) AS share FROM s""", doubles="score share")
 def r11(spark, sf):
-    return R.organelle_contribution(T.object_long(spark, sf), CONTROL)
+    return R.organelle_contribution(T.object_long(spark, sf), control())
 
 
 _SETS = f"""{T.GENES}, sets AS (SELECT gene, set_id FROM genes)"""
@@ -178,7 +181,7 @@ def a24(spark, sf):
 @query("r16_named_group_test", f"""WITH {LONG}, {MOMENTS.replace("gene <> '0'", "gene IN ('1', '2', '3')")} SELECT feature, mean, n, control_mean, control_n, {WELCH} FROM m""", doubles="mean control_mean t dof", digits=4)
 def r16(spark, sf):
     l = long(spark, sf).where(F.col("gene").isin("0", "1", "2", "3"))
-    return R.differential_features(l, CONTROL, with_p=False).select("feature", "mean", "n", "control_mean", "control_n", "t", "dof")
+    return R.differential_features(l, control(), with_p=False).select("feature", "mean", "n", "control_mean", "control_n", "t", "dof")
 
 
 @query("r17_spearman_with_target", f"""WITH {T.GENE_CELLS}, {T.OBJECTS}, f AS (SELECT cell_id, avg(area) AS area, max(extent) AS extent, sum(eccentricity) AS ecc FROM objects GROUP BY 1),
@@ -202,7 +205,7 @@ def r18(spark, sf):
 m AS (SELECT organelle, feature, avg((value - mu) / sd) FILTER (gene <> '0') - avg((value - mu) / sd) FILTER (gene = '0') AS diff FROM object_long JOIN c USING (organelle, feature) GROUP BY 1, 2)
 SELECT organelle, avg(abs(diff)) AS effect FROM m GROUP BY 1""", doubles="effect")
 def r19(spark, sf):
-    return R.discrimination(T.object_long(spark, sf), CONTROL, ["organelle"]).select("organelle", "effect")
+    return R.discrimination(T.object_long(spark, sf), control(), ["organelle"]).select("organelle", "effect")
 
 
 @query("r20_variance_comparison", f"""WITH {T.OBJECT_LONG}, v AS (SELECT organelle, feature, var_samp(value) AS variance FROM object_long GROUP BY 1, 2) SELECT organelle, sum(variance) AS total, avg(variance) AS mean, median(variance) AS median,
@@ -236,7 +239,7 @@ def r22(spark, sf):
 @query("r23_profile_against_controls", f"""WITH {LONG}, c AS (SELECT feature, avg(value) AS mu, stddev_pop(value) AS sd FROM l GROUP BY 1), z AS (SELECT gene, l.feature, (value - mu) / sd AS z FROM l JOIN c USING (feature))
 SELECT feature, avg(z) FILTER (gene IN ('5', '6')) AS set_z, avg(z) FILTER (gene = '0') AS control_z FROM z GROUP BY 1""", doubles="set_z control_z")
 def r23(spark, sf):
-    return R.profile_against_controls(long(spark, sf), F.col("gene").isin("5", "6"), CONTROL)
+    return R.profile_against_controls(long(spark, sf), F.col("gene").isin("5", "6"), control())
 
 
 @query("r24_density_1d", f"""WITH {T.GENE_CELLS}, v AS (SELECT batch, avg(cell_area) / 100000 AS x FROM gene_cells GROUP BY batch, guide), s AS (SELECT batch, stddev_samp(x) * 0.3 AS h, count(*) AS n, min(x) AS lo, max(x) AS hi FROM v GROUP BY 1),

@@ -10,7 +10,10 @@ from screenforge.plans import tables as T
 from screenforge.plans.registry import query
 
 REPORTERS = {f"r{i}": list(range(16 * i, 16 * i + 16)) for i in range(4)}
-CONTROL = F.col("perturbation") == "0"
+
+
+def control():
+    return F.col("perturbation") == "0"
 
 
 def ap_sql(qw, neg, sub="features", rw="true", tail=""):
@@ -28,17 +31,17 @@ DIS = ap_sql("true", "true", rw="perturbation <> '0'")
 
 @query("q1_q2_activity_average_precision", f"WITH {ACT} SELECT 'all' AS variant, * FROM ap", doubles="average_precision")
 def q2(spark, sf):
-    return Q.activity(T.profiles(spark, sf), CONTROL)
+    return Q.activity(T.profiles(spark, sf), control())
 
 
 @query("q2_activity_map", f"WITH {ACT} SELECT 'all' AS variant, label, avg(average_precision) AS mean_average_precision, count(*) AS n_queries FROM ap GROUP BY label", doubles="mean_average_precision")
 def q2m(spark, sf):
-    return Q.mean_average_precision(Q.activity(T.profiles(spark, sf), CONTROL))
+    return Q.mean_average_precision(Q.activity(T.profiles(spark, sf), control()))
 
 
 @query("q3_distinctiveness_average_precision", f"WITH {DIS} SELECT 'all' AS variant, * FROM ap", doubles="average_precision")
 def q3(spark, sf):
-    return Q.distinctiveness(T.profiles(spark, sf), CONTROL)
+    return Q.distinctiveness(T.profiles(spark, sf), control())
 
 
 @query("q3_distinctiveness_of_active", f"""WITH {ap_sql("true", "true", rw="perturbation IN ('1', '2', '3', '4')")} SELECT 'all' AS variant, label, avg(average_precision) AS mean_average_precision, count(*) AS n_queries FROM ap GROUP BY label""", doubles="mean_average_precision")
@@ -76,12 +79,12 @@ def q5(spark, sf):
 
 @query("q6_significance")
 def q6(spark, sf):
-    return Q.significance(Q.activity(T.profiles(spark, sf), CONTROL), 2000)
+    return Q.significance(Q.activity(T.profiles(spark, sf), control()), 2000)
 
 
 @query("q6_significant_ratio")
 def q6r(spark, sf):
-    return Q.significant_ratio(Q.significance(Q.distinctiveness(T.profiles(spark, sf), CONTROL), 2000))
+    return Q.significant_ratio(Q.significance(Q.distinctiveness(T.profiles(spark, sf), control()), 2000))
 
 
 @query("q7_weighted_auc", """WITH s AS (SELECT c_mktsegment AS variant, c_nationkey AS label, avg(c_acctbal) / 10000 AS mean_average_precision, 1.0 / count(*) AS p_value FROM customer GROUP BY 1, 2)
@@ -94,16 +97,16 @@ def q7(spark, sf):
 @query("q8_threshold_sweep_auc", f"""WITH {ACT}, m AS (SELECT label, round(avg(average_precision), 6) AS m FROM ap GROUP BY 1), g AS (SELECT i, avg(CASE WHEN m >= i / 100.0::DOUBLE THEN 1.0 ELSE 0 END) AS f FROM m, range(101) t(i) GROUP BY 1)
 SELECT 'all' AS variant, sum(f * CASE WHEN i IN (0, 100) THEN 0.5 ELSE 1 END / 100) AS sweep_auc FROM g""", doubles="sweep_auc")
 def q8(spark, sf):
-    m = Q.mean_average_precision(Q.activity(T.profiles(spark, sf), CONTROL))
+    m = Q.mean_average_precision(Q.activity(T.profiles(spark, sf), control()))
     return Q.sweep_auc(m.withColumn("mean_average_precision", F.round("mean_average_precision", 6)))
 
 
 def battery(profiles, subsets):
-    return Q.mean_average_precision(Q.activity(profiles, CONTROL, subsets)).withColumnRenamed("label", "perturbation")
+    return Q.mean_average_precision(Q.activity(profiles, control(), subsets)).withColumnRenamed("label", "perturbation")
 
 
 def significant_battery(profiles, subsets):
-    return Q.significance(Q.activity(profiles, CONTROL, subsets), 1000)
+    return Q.significance(Q.activity(profiles, control(), subsets), 1000)
 
 
 def _masked(labels):
