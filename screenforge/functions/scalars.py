@@ -135,34 +135,39 @@ def parse_feature(name: Column, organelles: Sequence[str]) -> Column:
     """
     alternatives = "|".join(_escape(o) for o in sorted(organelles, key=lambda o: (-len(o), o)))
     aggs = "|".join(AGGREGATES)
-    is_net = name.startswith("network_")
-    bare = F.when(is_net, F.substring(name, 9, 10_000)).otherwise(name)
-    agg = F.nullif(F.regexp_extract(bare, f"_({aggs})$", 1), F.lit(""))
-    rest = F.regexp_replace(bare, f"_({aggs})$", "")
-    org = F.nullif(F.regexp_extract(rest, f"^({alternatives})(_|$)", 1), F.lit(""))
-    whole = rest == org
-    after = F.when(org.isNull(), rest).when(whole, F.lit("")).otherwise(
-        F.substr(rest, F.length(org) + 2)
-    )
-    counted = F.coalesce(whole, F.lit(False)) & ~is_net
-    metric = F.when(counted, F.when(agg == "count", F.lit("count")).otherwise(F.lit(""))).otherwise(after)
-    kind = (
-        F.when(is_net, "network")
-        .when(org.isNull() | (metric == ""), "unknown")
-        .when(metric.contains("intensity"), "intensity")
-        .when(metric.contains("distance_from") | metric.contains("normalized_radial"), "localization")
-        .otherwise("morphology")
-    )
-    cell = name.startswith("cell_")
-    cp_cell = name.startswith("cp_cell_")
-    nothing = F.lit(None).cast("string")
-    return F.struct(
-        F.when(cell, "cell").when(cp_cell, "cp_cell").otherwise(org).alias("organelle"),
-        F.when(cell, F.substring(name, 6, 10_000)).when(cp_cell, F.substring(name, 9, 10_000))
-        .otherwise(metric).alias("metric"),
-        F.when(cell | cp_cell, "cell_morphology").otherwise(kind).alias("category"),
-        F.when(cell | cp_cell | counted, nothing).otherwise(agg).alias("aggregation"),
-    )
+    found = lambda text, regex: F.nullif(F.regexp_extract(text, regex, 1), F.lit(""))
+
+    def split(n: Column) -> Column:
+        bare = F.regexp_replace(n, "^network_", "")
+        rest = F.regexp_replace(bare, f"_({aggs})$", "")
+        return F.struct(
+            n.alias("name"), n.startswith("network_").alias("net"), found(bare, f"_({aggs})$").alias("agg"), rest.alias("rest"),
+            found(rest, f"^({alternatives})(_|$)").alias("org"), found(n, "^(cp_cell|cell)_").alias("cell"),
+        )
+
+    def measured(s: Column) -> Column:
+        whole = F.coalesce(s["rest"] == s["org"], F.lit(False))
+        after = F.when(s["org"].isNull(), s["rest"]).when(whole, F.lit("")).otherwise(F.substr(s["rest"], F.length(s["org"]) + 2))
+        counted = whole & ~s["net"]
+        metric = F.when(s["cell"].isNotNull(), F.substr(s["name"], F.length(s["cell"]) + 2)).when(
+            counted, F.when(s["agg"] == "count", F.lit("count")).otherwise(F.lit(""))).otherwise(after)
+        agg = F.when(s["cell"].isNull() & ~counted, s["agg"])
+        return F.struct(s.alias("s"), metric.alias("metric"), agg.alias("agg"))
+
+    def described(t: Column) -> Column:
+        s, metric = t["s"], t["metric"]
+        kind = (
+            F.when(s["cell"].isNotNull(), "cell_morphology").when(s["net"], "network")
+            .when(s["org"].isNull() | (metric == ""), "unknown").when(metric.contains("intensity"), "intensity")
+            .when(metric.contains("distance_from") | metric.contains("normalized_radial"), "localization").otherwise("morphology")
+        )
+        return F.struct(
+            F.coalesce(s["cell"], s["org"]).alias("organelle"), metric.alias("metric"), kind.alias("category"), t["agg"].alias("aggregation")
+        )
+
+    # each step binds the one before it, so no expression is repeated in the plan
+    steps = F.transform(F.transform(F.transform(F.array(name), split), measured), described)
+    return F.get(steps, F.lit(0))
 
 
 def reporter_type(label: Column) -> Column:

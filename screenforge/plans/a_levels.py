@@ -263,12 +263,13 @@ def a27(spark, sf):
     return S.reporter_stats(reports)
 
 
-@query("a29_gene_area_variance", f"""WITH {T.GENE_CELLS}, top AS (SELECT gene, var_samp(cell_area) AS gene_variance FROM gene_cells
- GROUP BY gene ORDER BY gene_variance DESC, gene LIMIT 5), p AS (SELECT gene, guide, var_samp(cell_area) AS guide_variance,
- count(*) AS n_cells FROM gene_cells GROUP BY 1, 2) SELECT p.*, gene_variance FROM p JOIN top USING (gene)""",
-    doubles="gene_variance guide_variance", digits=1)
+@query("a29_gene_area_variance", f"""WITH {T.GENE_CELLS}, c AS (SELECT gene, guide, cell_area / 1000 AS area FROM gene_cells), top AS (SELECT gene, var_samp(area) AS gene_variance FROM c
+ GROUP BY gene ORDER BY gene_variance DESC, gene LIMIT 5), p AS (SELECT gene, guide, var_samp(area) AS guide_variance,
+ count(*) AS n_cells FROM c GROUP BY 1, 2) SELECT p.*, gene_variance FROM p JOIN top USING (gene)""",
+    doubles="gene_variance guide_variance")
 def a29(spark, sf):
-    return S.gene_area_variance(T.gene_cells(spark, sf), "gene", "guide", "cell_area")
+    c = T.gene_cells(spark, sf).withColumn("area", F.col("cell_area") / 1000)
+    return S.gene_area_variance(c, "gene", "guide", "area")
 
 
 @query("a30_property_distribution", f"""WITH {T.OBJECT_ROWS}, c AS (SELECT cell_id, CASE WHEN gene = '0' THEN 'NTC' ELSE 'Perturbed' END AS gene_group,
