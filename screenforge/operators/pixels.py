@@ -267,7 +267,3 @@ def tile_edge_pairs(pixels: DataFrame, image: str, step: int, label: str = "labe
         image, "a", (F.col("y") - 1).alias("ny"), (F.col("x") + F.col("o")).alias("nx"), F.floor(F.col("x") / step).alias("t"), F.floor((F.col("x") + F.col("o")) / step).alias("s"))
     asked = left.unionByName(top).where(F.col("t") == F.col("s")).drop("t", "s")
     return asked.join(n, [image, "ny", "nx"]).where(F.col("a") != F.col("b")).select(image, "a", "b").distinct()
-
-
-def keyed(image: Column, label: Column) -> Column:
-    return F.concat_ws(":", image, label)

@@ -34,16 +34,6 @@ def raw(spark, sf):
     )
 
 
-def _schema_query(name, table, fn):
-    @query(name, None)
-    def q(spark, sf):
-        df = T.read(spark, sf, table)
-        cols = fn(df)
-        return df.select(*cols).unpivot([], cols, "feature", "value").groupBy("feature").agg(F.count("value").alias("n"))
-
-    return q
-
-
 @query("p1_feature_columns", """SELECT 'l_quantity' AS feature, count(l_quantity) AS n FROM lineitem UNION ALL SELECT 'l_extendedprice', count(l_extendedprice) FROM lineitem
  UNION ALL SELECT 'l_discount', count(l_discount) FROM lineitem UNION ALL SELECT 'l_tax', count(l_tax) FROM lineitem""")
 def p1(spark, sf):
