@@ -39,12 +39,12 @@ def brute_links(rows, least):
     return sorted((i, n[k], find(i)) for k, (i, _, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize(("cell", "least"), [(2048, 0.98), (20, 0.98), (20, 0.5)])
+@pytest.mark.parametrize(("cell", "least"), [(2048, 0.98), (20, 0.98), (20, 0.3)])
 def test_range_join_beside_brute_force(spark, cell, least):
     df = spark.read.parquet(f"{SF}/embeddings.parquet")
     got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in ranges.near_vectors(df, least, cell).collect())
     want = brute_links(rows_of(df), least)
-    assert got == want and (least > 0.9 or sum(x[1] for x in want) > 10)
+    assert got == want and (least > 0.5 or sum(x[1] for x in want) > 10)
 
 
 def test_range_join_tiles(spark):
