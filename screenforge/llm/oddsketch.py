@@ -24,8 +24,8 @@ from screenforge.session import checkpointed
 #: MinHash samples, bands (of SAMPLES / BANDS samples), bits of the odd sketch.
 #: A pair at similarity 0.8 shares no band with chance (1 - 0.8 ** 4) ** 32 < 5e-8.
 SAMPLES, BANDS, BITS = 128, 32, 512
-#: Members of one bucket that a task compares at once.
-TILE = 2048
+#: Members, and shingles of theirs, that a tile of a bucket has at most about.
+TILE, TILE_SHINGLES = 2048, 1 << 21
 _A = splitmix(np.arange(1, SAMPLES + 1, dtype=np.uint64)) | np.uint64(1)
 _B = splitmix(np.arange(1, SAMPLES + 1, dtype=np.uint64) + np.uint64(1 << 32))
 
@@ -96,11 +96,11 @@ def sketched(docs: DataFrame, size: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_id binary, bands array<long>, sketch binary")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
-    need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    # ids repeated with other texts: each version is compared
-    texts = checkpointed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(need, "doc_id", "left_semi"))
+def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union.
+
+    Of ids repeated with other texts each version is compared.
+    """
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,61 +117,96 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _compare(tile: np.ndarray, other: np.ndarray, most: int) -> np.ndarray:
-    """[i, j]: do the sketches (rows of 64-bit words) differ in at most ``most`` bits?"""
-    out = np.zeros((len(tile), len(other)), np.uint16)
-    for w in range(tile.shape[1]):
-        out += np.bitwise_count(tile[:, None, w] ^ other[None, :, w])
-    return out <= most
+def full_sets(texts: DataFrame, size: int) -> DataFrame:
+    """(doc_id, full): sorted 64-bit hashes of the whole shingle set, packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            full = [np.unique(hash64(list(shingles(words(t), size)))).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(full, pa.binary())], names=["doc_id", "full"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, full binary")
+
+
+def _same(x: np.ndarray, y: np.ndarray) -> int:
+    """Common values of two sorted arrays without repetition."""
+    both = np.concatenate((x, y))
+    both.sort()
+    return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
-def across(mixed: DataFrame, most: int, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) between different components of a bucket.
+def _search_cell(one: dict, two: dict, alone: bool, most: int, percent: int) -> list[tuple[int, int]]:
+    """Links between different components of two tiles of a bucket: a forest over the components.
 
-    ``mixed`` has key, node, component, n, sketch. A bucket is cut into tiles; every two tiles of it
-    meet in a task of their own, which compares bitmaps and set sizes and emits what is left.
+    Bitmaps and sizes go first; a pair that shares an earlier band is left to that band's bucket.
+    Full sets decide, unless the components have met in the meantime.
     """
-    from pyspark.sql import Window
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (p := root.setdefault(x, x)) != x:
+            root[x] = root[p]
+            x = p
+        return x
+
+    out, step = [], 256
+    for at in range(0, len(one["node"]), step):
+        here = slice(at, at + step)
+        hit = np.zeros((len(one["node"][here]), len(two["node"])), np.uint16)
+        for w in range(one["sketch"].shape[1]):
+            hit += np.bitwise_count(one["sketch"][here, None, w] ^ two["sketch"][None, :, w])
+        n, m = one["n"][here, None], two["n"][None]
+        near = (hit <= most) & (one["component"][here, None] != two["component"][None]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+        if alone:
+            near &= one["node"][here, None] < two["node"][None]
+        i, j = np.nonzero(near)
+        band = one["band"]
+        if band:
+            first = ~(one["bands"][here][i, :band] == two["bands"][j, :band]).any(1)
+            i, j = i[first], j[first]
+        for a, b in zip((i + at).tolist(), j.tolist(), strict=True):
+            p, q = find(int(one["component"][a])), find(int(two["component"][b]))
+            if p == q:
+                continue
+            x, y = one["full"][a], two["full"][b]
+            common = _same(x, y)
+            if common and 100 * common >= percent * (len(x) + len(y) - common):
+                root[p] = q
+                out.append((int(one["node"][a]), int(two["node"][b])))
+    return out
+
+
+def across(open_: DataFrame, most: int, percent: int) -> DataFrame:
+    """(a, b): confirmed links between different components of a bucket.
+
+    ``open_`` has key, band, node, component, n, bands, sketch, full and the tiles of its bucket. Every
+    two tiles of a bucket meet in a task of their own; it emits at most one link per component.
+    """
+    tiled = open_.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    cells = tiled.select("key", F.least("tile", "to").alias("p"), F.greatest("tile", "to").alias("q"), (F.col("tile") > F.col("to")).alias("second"), "band", "node", "component", "n", "bands", "sketch", "full")
 
-    numbered = mixed.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("key")))
-    tiles = F.ceil(F.col("__n") / TILE).cast("int")
-    tiled = numbered.withColumn("tile", F.when(F.col("__n") <= TILE, 0).otherwise(F.pmod(F.xxhash64("node"), tiles)).cast("int")).withColumn(
-        "to", F.explode(F.sequence(F.lit(0), tiles - 1))
-    )
-    cells = tiled.select("key", F.least("tile", "to").alias("p"), F.greatest("tile", "to").alias("q"), (F.col("tile") > F.col("to")).alias("second"), "node", "component", "n", "sketch")
+    def side(rows: list[tuple]) -> dict:
+        column = lambda k: [r[k] for r in rows]
+        return {
+            "band": rows[0][4], "node": np.array(column(5)), "component": np.array(column(6)), "n": np.array(column(7)), "bands": np.array(column(8), np.int64),
+            "sketch": np.frombuffer(b"".join(column(9)), np.uint64).reshape(len(rows), -1), "full": [np.frombuffer(x, np.uint64) for x in column(10)],
+        }
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def cell(rows: list[tuple]) -> tuple[list[int], list[int]]:
-            p, q = rows[0][1:3]
+        def done(rows: list[tuple]) -> pa.RecordBatch:
             one = [r for r in rows if not r[3]]
-            two = one if p == q else [r for r in rows if r[3]]
-            if not one or not two:
-                return [], []
-            x, y = (np.frombuffer(b"".join(r[7] for r in side), np.uint64).reshape(len(side), -1) for side in (one, two))
-            hit = _compare(x, y, most)
-            cx, cy = np.array([r[5] for r in one]), np.array([r[5] for r in two])
-            nx, ny = np.array([r[6] for r in one]), np.array([r[6] for r in two])
-            hit &= (cx[:, None] != cy[None]) & (100 * np.minimum(nx[:, None], ny[None]) >= percent * np.maximum(nx[:, None], ny[None]))
-            i, j = np.nonzero(hit)
-            a, b = np.array([r[4] for r in one])[i], np.array([r[4] for r in two])[j]
-            return np.minimum(a, b).tolist(), np.maximum(a, b).tolist()
+            two = one if rows and rows[0][1] == rows[0][2] else [r for r in rows if r[3]]
+            found = _search_cell(side(one), side(two), one is two, most, percent) if one and two else []
+            return pa.RecordBatch.from_pydict({"a": pa.array([min(x) for x in found], pa.int64()), "b": pa.array([max(x) for x in found], pa.int64())})
 
         rows: list[tuple] = []
-        left, right = [], []
-        for batch in batches:
+        for batch in slices(batches):
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if rows and rows[0][:3] != r[:3]:
-                    a, b = cell(rows)
-                    left += a
-                    right += b
+                    yield done(rows)
                     rows = []
                 rows.append(r)
-            if left:
-                yield pa.RecordBatch.from_pydict({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
-                left, right = [], []
-        if rows:
-            a, b = cell(rows)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(left + a, pa.int64()), "b": pa.array(right + b, pa.int64())})
+        yield done(rows)
 
     return cells.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(run, "a long, b long").distinct()
 
@@ -193,9 +228,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     rows = checkpointed(sketched(docs, size))
     sets = rows.where("set_id IS NOT NULL AND doc_id IS NOT NULL")
     node = checkpointed(sets.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n")))
-    members = node.select(F.posexplode("bands").alias("band", "key"), "node", "n", "sketch").select(F.xxhash64("band", "key").alias("key"), "node")
+    members = node.select(F.posexplode("bands").alias("band", "key"), "node").select(F.xxhash64("band", "key").alias("key"), "band", "node")
     low = members.groupBy("key").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "low")
     shared = checkpointed(members.join(low, "key"))
+    texts = checkpointed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(shared.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"))
     most = most_differing(percent / 100)
     info = node.select("node", "n", "sketch")
 
@@ -206,15 +242,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         return both.where(sizes & (sum(words_[1:], words_[0]) <= most)).select("a", "b")
 
     star = checkpointed(plausible(shared.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()))
-    links = checkpointed(confirmed(star, docs, size, percent))
+    links = checkpointed(confirmed(star, texts, size, percent))
     # a doc_id with several sets is one node of the graph: its sets meet in their smallest ids
     same = sets.join(node.select("set_id", "node"), "set_id").where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b")).distinct()
     parts = _components(links, node)
-    mixed = shared.join(parts, "node").select("key", "node", "component")
-    several = mixed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    open_ = mixed.join(several, "key").join(info, "node").select("key", "node", "component", "n", "sketch")
-    more = checkpointed(across(open_, most, percent).join(star.select("a", "b"), ["a", "b"], "left_anti"))
-    links = checkpointed(links.union(confirmed(more, docs, size, percent)).union(same))
+    # a bucket's smallest node has met all others; what is left matters if it has several components
+    mixed = shared.where("node <> low").join(parts, "node").join(info.select("node", "n"), "node").select("key", "band", "node", "component", "n")
+    tiles = F.ceil(F.greatest(F.count(F.lit(1)) / TILE, F.sum("n") / TILE_SHINGLES)).cast("int")
+    several = mixed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), tiles.alias("tiles")).where("x <> y").select("key", "tiles")
+    open_ = checkpointed(mixed.join(several, "key"))
+    full = full_sets(texts.join(open_.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), size).withColumnRenamed("doc_id", "node")
+    more = across(open_.join(node.select("node", "bands", "sketch"), "node").join(full, "node"), most, percent)
+    links = checkpointed(links.union(more).union(same))
     final = connected_components(links, "a", "b")
     own = rows.join(final.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
