@@ -16,33 +16,65 @@ from pyspark.sql import functions as F
 AGGREGATES = ["mean", "median", "std", "sum", "min", "max", "count"]
 
 METRIC_UNITS = {
-    "um^2": ["area", "area_convex", "area_filled"],
-    "um": [
-        "perimeter", "perimeter_crofton", "axis_major_length", "axis_minor_length",
-        "equivalent_diameter_area", "centroid_y", "centroid_x", "centroid_weighted_y",
-        "centroid_weighted_x", "distance_from_cell_edge", "distance_from_nucleus",
-        "distance_from_nucleus_centroid", "branch_length", "branch_thickness",
-        "total_branch_length",
-    ],
-    "ratio": [
-        "solidity", "extent", "eccentricity", "aspect_ratio", "circularity", "area_fraction",
-        "intensity_cv", "moments_weighted_hu_0", "moments_weighted_hu_1",
-        "moments_weighted_hu_2", "moments_weighted_hu_3", "moments_weighted_hu_4",
-        "moments_weighted_hu_5", "moments_weighted_hu_6", "inertia_eigval_0",
-        "inertia_eigval_1", "normalized_radial_position", "tortuosity", "average_degree",
-    ],
-    "radians": ["orientation"],
-    "count": [
-        "euler_number", "count", "num_branches", "num_nodes", "num_endpoints", "branch_count",
-        "skeleton_pixel_count", "num_skeleton_components",
-    ],
-    "AU": [
-        "intensity_mean", "intensity_max", "intensity_min", "intensity_std",
-        "intensity_median", "intensity_q25", "intensity_q75", "intensity_iqr",
-        "intensity_mad", "intensity_integrated", "intensity_range",
-    ],
-    "1/um^2": ["branching_density"],
-    "um/um^2": ["network_length_density"],
+    "area": "um^2",
+    "area_convex": "um^2",
+    "area_filled": "um^2",
+    "perimeter": "um",
+    "perimeter_crofton": "um",
+    "axis_major_length": "um",
+    "axis_minor_length": "um",
+    "equivalent_diameter_area": "um",
+    "centroid_y": "um",
+    "centroid_x": "um",
+    "centroid_weighted_y": "um",
+    "centroid_weighted_x": "um",
+    "distance_from_cell_edge": "um",
+    "distance_from_nucleus": "um",
+    "distance_from_nucleus_centroid": "um",
+    "branch_length": "um",
+    "branch_thickness": "um",
+    "total_branch_length": "um",
+    "solidity": "ratio",
+    "extent": "ratio",
+    "eccentricity": "ratio",
+    "aspect_ratio": "ratio",
+    "circularity": "ratio",
+    "area_fraction": "ratio",
+    "intensity_cv": "ratio",
+    "moments_weighted_hu_0": "ratio",
+    "moments_weighted_hu_1": "ratio",
+    "moments_weighted_hu_2": "ratio",
+    "moments_weighted_hu_3": "ratio",
+    "moments_weighted_hu_4": "ratio",
+    "moments_weighted_hu_5": "ratio",
+    "moments_weighted_hu_6": "ratio",
+    "inertia_eigval_0": "ratio",
+    "inertia_eigval_1": "ratio",
+    "normalized_radial_position": "ratio",
+    "tortuosity": "ratio",
+    "average_degree": "ratio",
+    "orientation": "radians",
+    "euler_number": "count",
+    "count": "count",
+    "num_branches": "count",
+    "num_nodes": "count",
+    "num_endpoints": "count",
+    "branch_count": "count",
+    "skeleton_pixel_count": "count",
+    "num_skeleton_components": "count",
+    "intensity_mean": "AU",
+    "intensity_max": "AU",
+    "intensity_min": "AU",
+    "intensity_std": "AU",
+    "intensity_median": "AU",
+    "intensity_q25": "AU",
+    "intensity_q75": "AU",
+    "intensity_iqr": "AU",
+    "intensity_mad": "AU",
+    "intensity_integrated": "AU",
+    "intensity_range": "AU",
+    "branching_density": "1/um^2",
+    "network_length_density": "um/um^2",
 }
 
 METADATA_PATTERNS = [
@@ -119,7 +151,7 @@ def global_id(well: Column, seg: Column, cp_seg: Column) -> Column:
 # --- feature names ----------------------------------------------------------------------------
 def metric_unit(metric: Column) -> Column:
     """Unit by one lookup in a literal map; unlisted metrics are ``unknown``."""
-    pairs = [F.lit(x) for unit, names in METRIC_UNITS.items() for n in names for x in (n, unit)]
+    pairs = [F.lit(x) for item in METRIC_UNITS.items() for x in item]
     return F.coalesce(F.try_element_at(F.create_map(*pairs), metric), F.lit("unknown"))
 
 

@@ -189,15 +189,15 @@ def knn_graph(profiles: DataFrame, k: int) -> DataFrame:
     return e.groupBy("src", "dst").agg(F.max("weight").alias("weight"))
 
 
-def communities(edges: DataFrame, max_rounds: int = 20) -> DataFrame:
+def communities(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """(id, community) by weighted label propagation: a node takes the label with the largest summed
     weight among its neighbours (ties to the smallest), and moves only if that beats its own label.
 
-    Half of the nodes, chosen by hash, move in each round, which rules out flip-flopping.
+    Half of the nodes, another half by hash in each round, may move, so neighbours do not swap
+    labels for ever. Ends when no node wants to move; raises if that is not reached.
     """
     both = checkpointed(edges.select(F.col("src").alias("id"), F.col("dst").alias("other"), "weight").union(edges.select(F.col("dst"), F.col("src"), "weight")))
     labels = checkpointed(both.select("id").distinct().withColumn("community", F.col("id")))
-    quiet = 0
     for r in range(max_rounds):
         given = labels.select(F.col("id").alias("other"), F.col("community").alias("c"))
         votes = both.join(given, "other").groupBy("id", "c").agg(F.round(F.sum("weight"), 9).alias("w"))
@@ -206,13 +206,13 @@ def communities(edges: DataFrame, max_rounds: int = 20) -> DataFrame:
             F.min_by(F.struct("c", "w"), F.struct((-F.col("w")).alias("a"), F.col("c").alias("b"))).alias("best"),
             F.coalesce(F.max(F.when(F.col("c") == F.col("now"), F.col("w"))), F.lit(0.0)).alias("own"),
         )
-        better = (F.pmod(F.xxhash64("id"), F.lit(2)) == r % 2) & (F.col("best.w") > F.col("own"))
-        moved = checkpointed(best.select("id", F.when(better, F.col("best.c")).otherwise(F.col("now")).alias("community"), better.alias("moved")))
+        wants = F.col("best.w") > F.col("own")
+        turn = F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2)) == 0
+        moved = checkpointed(best.select("id", F.when(wants & turn, F.col("best.c")).otherwise(F.col("now")).alias("community"), wants.alias("wants")))
         labels = moved.select("id", "community")
-        quiet = quiet + 1 if moved.where("moved").isEmpty() else 0
-        if quiet == 2:
-            break
-    return labels
+        if moved.where("wants").isEmpty():
+            return labels
+    raise RuntimeError("communities did not settle")
 
 
 def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:

@@ -106,17 +106,18 @@ def relabel(rows: DataFrame, components: DataFrame, label: str = "global_label")
     return rows.join(c, label, "left").withColumn("object_id", F.coalesce("__c", label)).drop("__c")
 
 
-def recursive_members(parents: DataFrame, members: DataFrame, cluster: str = "cluster", parent: str = "parent", gene: str = "gene", max_depth: int = 50) -> DataFrame:
+def recursive_members(parents: DataFrame, members: DataFrame, cluster: str = "cluster", parent: str = "parent", gene: str = "gene") -> DataFrame:
     """(cluster, gene) with the genes of all descendants.
 
-    One join with the hierarchy per level; the frontier is checkpointed so the plan stays short.
+    One join with the hierarchy per level, until no new pair appears; pairs seen before are left
+    out, so a cycle ends. The frontier is checkpointed so the plan stays short.
     """
     pairs = members.select(F.col(cluster).alias("__c")).union(parents.select(F.col(cluster).alias("__c"))).distinct()
     frontier = pairs.select(F.col("__c").alias("ancestor"), F.col("__c").alias("node"))
     reach = frontier
     links = parents.where(F.col(parent).isNotNull()).select(F.col(cluster).alias("child"), F.col(parent).alias("node"))
-    for _ in range(max_depth):
-        frontier = checkpointed(frontier.join(links, "node").select("ancestor", F.col("child").alias("node")).distinct())
+    while True:
+        frontier = checkpointed(frontier.join(links, "node").select("ancestor", F.col("child").alias("node")).distinct().join(reach, ["ancestor", "node"], "left_anti"))
         if frontier.isEmpty():
             break
         reach = reach.union(frontier)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from screenforge.functions.scalars import AGGREGATES, finite, has_guide
 from screenforge.operators.longform import to_long
-from screenforge.operators.skew import largest_group, quantiles
+from screenforge.operators.skew import join_keys, largest_group, quantiles
 from screenforge.session import group_limit
 
 WIDE_FEATURE_LIMIT = 64
@@ -41,9 +41,7 @@ def seven_stats_long(
         return long.groupBy(*keys).agg(*others, F.median(value).alias("median"))
     mid = quantiles(long, keys, value, [0.5], "__q").select(*keys, F.col("__q")[0].alias("median"))
     rest = long.groupBy(*keys).agg(*(others or [F.count(F.lit(1)).alias("__rows")]))
-    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"m.{k}")) for k in keys]
-    joined = rest.alias("r").join(mid.alias("m"), same, "left")
-    return joined.select("r.*", "m.median").drop("__rows")
+    return join_keys(rest, mid, keys, "left").drop("__rows")
 
 
 def seven_stats(
@@ -74,7 +72,7 @@ def seven_stats(
     ])
     if not extra:
         return wide
-    return df.groupBy(*keys).agg(*extra).join(wide, list(keys))
+    return join_keys(df.groupBy(*keys).agg(*extra), wide, keys)
 
 
 def first_values(columns: Sequence[str], order: str) -> list[Column]:

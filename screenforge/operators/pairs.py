@@ -122,7 +122,8 @@ def group_distances(queries: DataFrame, refs: DataFrame, group: str, block_rows:
 
     def sums(a: pa.Table, b: pa.Table) -> pa.Table:
         x, y = matrix(a), matrix(b)
-        names, code = np.unique(np.asarray(b.column("ref_group").to_pylist(), dtype=object).astype(str), return_inverse=True) if len(y) else (np.array([]), np.array([], int))
+        coded = b.column("ref_group").combine_chunks().dictionary_encode(null_encoding="encode")
+        names, code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
         d = np.sqrt(squared_distances(x, y))
         same = np.asarray(a.column("id").to_pylist(), dtype=object)[:, None] == np.asarray(b.column("ref_id").to_pylist(), dtype=object)[None, :]
         keep = ~same.astype(bool) if d.size else np.ones(d.shape, bool)
@@ -136,7 +137,7 @@ def group_distances(queries: DataFrame, refs: DataFrame, group: str, block_rows:
         ids = a.column("id").combine_chunks()
         rows = np.repeat(np.arange(len(x)), len(names))
         return pa.table({
-            "id": ids.take(pa.array(rows, pa.int64())), "ref_group": pa.array(np.tile(names, len(x)).tolist(), pa.string()),
+            "id": ids.take(pa.array(rows, pa.int64())), "ref_group": pa.array(names * len(x), pa.string()),
             "n": pa.array(n.ravel().astype(np.int64)), "total": pa.array(total.ravel()), "largest": pa.array(big.ravel()),
         })
 

@@ -152,14 +152,17 @@ def nearest_distance(objects: DataFrame, points: DataFrame, cell: str, y: str, x
     """Distance from each object to the nearest point of its cell.
 
     Points travel as arrays, so an object meets one row per array, not one per point, and the
-    minimum inside an array is a row-local expression.
+    minimum inside an array is a row-local expression. Equal objects are worked out once and
+    returned as often as they came.
     """
     packs = packed_points(points, [cell], "y", "x", size).select(cell, "points")
     oy, ox = F.col(y), F.col(x)
     best = F.array_min(F.transform("points", lambda p: (p["y"] - oy) * (p["y"] - oy) + (p["x"] - ox) * (p["x"] - ox)))
     cols = objects.columns
-    near = objects.join(packs, cell, "left").withColumn("__d", best)
-    return near.groupBy(*cols).agg(F.sqrt(F.min("__d")).alias(alias))
+    once = objects.groupBy(*cols).agg(F.count(F.lit(1)).alias("__copies"))
+    near = once.join(packs, cell, "left").withColumn("__d", best)
+    found = near.groupBy(*cols, "__copies").agg(F.sqrt(F.min("__d")).alias(alias))
+    return found.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*cols, alias)
 
 
 def localization(objects: DataFrame, cell_pixels: DataFrame, nucleus_pixels: DataFrame, cell: str = "image", y: str = "centroid_y", x: str = "centroid_x") -> DataFrame:

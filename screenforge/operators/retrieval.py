@@ -258,8 +258,8 @@ def weighted_contribution(mean_ap: Column, p: Column, cap: float = 6.0) -> Colum
 
 
 def auc_score(scores: DataFrame, keys: Sequence[str] = ("variant",)) -> DataFrame:
-    """Mean of the significance-weighted contributions."""
-    return scores.groupBy(*keys).agg(F.avg(weighted_contribution(F.col("mean_average_precision"), F.col("p_value"))).alias("auc"))
+    """Mean of the contributions weighted by the corrected p value."""
+    return scores.groupBy(*keys).agg(F.avg(weighted_contribution(F.col("mean_average_precision"), F.col("corrected_p_value"))).alias("auc"))
 
 
 def sweep_auc(scores: DataFrame, keys: Sequence[str] = ("variant",), points: int = 101) -> DataFrame:

@@ -32,6 +32,14 @@ def largest_group(df: DataFrame, keys: Sequence[str], limit: int | None = None)
     return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
 
 
+def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on key columns where null equals null; the keys appear once, from the left side."""
+    same = [F.col(f"__l.`{k}`").eqNullSafe(F.col(f"__r.`{k}`")) for k in keys]
+    joined = left.alias("__l").join(right.alias("__r"), same, how)
+    more = [] if how in ("left_anti", "left_semi") else [F.col(f"__r.`{c}`") for c in right.columns if c not in keys]
+    return joined.select(*[F.col(f"__l.`{c}`") for c in left.columns], *more)
+
+
 def _with_key(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
     return (df, list(keys)) if keys else (df.withColumn("__all", F.lit(0)), ["__all"])
 
@@ -50,7 +58,7 @@ def quantiles(
         out = df.groupBy(*ks).agg(direct)
     else:
         hot = sizes.where(F.col("__n") > limit)
-        small = df.join(hot, ks, "left_anti").groupBy(*ks).agg(direct)
+        small = join_keys(df, hot, ks, "left_anti").groupBy(*ks).agg(direct)
         out = small.unionByName(_bracketed_quantiles(df, ks, value, probs, alias, hot))
     return out.drop("__all")
 
@@ -62,7 +70,7 @@ def _bracketed_quantiles(df, ks, value, probs, alias, hot) -> DataFrame:
     their distinct values are ordered, everything below is counted.
     """
     eps = 3.0 / SKETCH_ACCURACY
-    rows = df.join(hot, ks)
+    rows = join_keys(df, hot, ks)
     bounds = []
     for p in probs:
         bounds += [max(0.0, p - eps), min(1.0, p + eps)]
@@ -78,7 +86,7 @@ def _bracketed_quantiles(df, ks, value, probs, alias, hot) -> DataFrame:
             (F.lit(p) * (F.col("__n") - 1)).alias("pos"),
         ) for i, p in enumerate(probs)
     ])
-    near = rows.drop("__n").join(sketch.select(*ks, wanted.alias("__w")), ks)
+    near = join_keys(rows.drop("__n"), sketch.select(*ks, wanted.alias("__w")), ks)
     parts = near.select(*ks, F.col(value).alias("__v"), F.explode("__w").alias("w")).where(
         F.col("__v") <= F.col("w.hi")
     )
@@ -122,7 +130,7 @@ def value_ranges(df: DataFrame, keys: Sequence[str], value: str, ranges: int = R
     """Adds ``__range``: the index of the sketch-balanced value range of each row in its group."""
     cuts = [i / ranges for i in range(1, ranges)]
     bounds = df.groupBy(*keys).agg(F.percentile_approx(value, cuts, SKETCH_ACCURACY).alias("__cuts"))
-    joined = df.join(bounds, list(keys))
+    joined = join_keys(df, bounds, keys)
     below = F.size(F.filter("__cuts", lambda c: c < F.col(value)))
     return joined.withColumn("__range", below).drop("__cuts")
 
@@ -138,23 +146,26 @@ def _ranged_ranks(counts: DataFrame, ks: list[str], value: str) -> DataFrame:
     )
     run = Window.partitionBy(*ks, "__range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     local = ranged.withColumn("__local", F.coalesce(F.sum("n_equal").over(run), F.lit(0)))
-    return local.join(offsets, [*ks, "__range"]).select(
+    return join_keys(local, offsets, [*ks, "__range"]).select(
         *ks, value, "n_equal", (F.col("__off") + F.col("__local")).alias("n_below"), "n_total"
     )
 
 
 def average_rank(df: DataFrame, keys: Sequence[str], value: str, alias: str, limit: int | None = None) -> DataFrame:
-    """Rank with ties averaged. Small groups rank in place; otherwise ranks join back by value."""
+    """Rank with ties averaged; a null value has no rank and shifts none, a null key is a group.
+
+    Small groups rank in place; otherwise ranks join back by value.
+    """
     limit = group_limit(df.sparkSession) if limit is None else limit
     if largest_group(df, keys, limit) <= limit:
-        w = Window.partitionBy(*keys).orderBy(value)
+        w = Window.partitionBy(*keys).orderBy(F.col(value).asc_nulls_last())
         ties = Window.partitionBy(*keys, value)
         rank = F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2
         return df.withColumn(alias, F.when(F.col(value).isNotNull(), rank))
     ranks = value_ranks(df, keys, value, limit).select(
         *keys, value, (F.col("n_below") + (F.col("n_equal") + 1) / 2).alias(alias)
     )
-    return df.join(ranks, [*keys, value], "left")
+    return join_keys(df, ranks, [*keys, value], "left")
 
 
 def bh_adjust(df: DataFrame, keys: Sequence[str], p: str, alias: str = "p_adj", limit: int | None = None) -> DataFrame:
@@ -180,10 +191,10 @@ def bh_adjust(df: DataFrame, keys: Sequence[str], p: str, alias: str = "p_adj",
         *ks, "__range", F.min("__m").over(above).alias("__later")
     )
     up = Window.partitionBy(*ks, "__range").orderBy(F.col("__p").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    adj = ranged.withColumn("__here", F.min("__raw").over(up)).join(later, [*ks, "__range"]).select(
+    adj = join_keys(ranged.withColumn("__here", F.min("__raw").over(up)), later, [*ks, "__range"]).select(
         *ks, "__p", F.least("__here", "__later").alias(alias)
     )
-    return df.join(adj, [*ks, "__p"]).drop("__p", "__set")
+    return join_keys(df, adj, [*ks, "__p"]).drop("__p", "__set")
 
 
 def first_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

@@ -10,11 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from screenforge.operators.skew import join_keys
 from screenforge.operators.stats import standard_scale
 from screenforge.operators.windows import normalise_to_first
 
-MAX_BINS = 1000
-
 
 def radial_position(cells: DataFrame, group: str, x: str, y: str, alias: str = "radial", min_cells: int = 1) -> DataFrame:
     """Distance to the mid-range centre of the cell's group; null in groups with too few placed cells.
@@ -68,13 +67,22 @@ def bin_profile(df: DataFrame, keys: Sequence[str], r: str, value: str, bins: in
 
 
 def _prefix(series: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
-    """Prefix sums of a short binned series as arrays (at most MAX_BINS points per key)."""
-    pts = series.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(x).alias("x"), F.col(y).alias("y")))).alias("pts"))
-    pts = pts.where((F.size("pts") >= 4) & (F.size("pts") <= MAX_BINS))
-    zero = F.array(F.lit(0.0))
-    step = lambda f: F.concat(zero, F.transform("pts", lambda p, i: F.aggregate(F.slice("pts", F.lit(1), i + 1), F.lit(0.0), lambda s, q: s + f(q))))
-    sums = {"sx": lambda q: q["x"], "sy": lambda q: q["y"], "sxx": lambda q: q["x"] * q["x"], "sxy": lambda q: q["x"] * q["y"], "syy": lambda q: q["y"] * q["y"]}
-    return pts.withColumns({k: step(f) for k, f in sums.items()}).withColumn("m", F.size("pts"))
+    """Points of each binned series in order, and prefix sums of their products, as arrays from 0."""
+    w = Window.partitionBy(*keys).orderBy(x, y)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    cx, cy = F.col(x).cast("double"), F.col(y).cast("double")
+    sums = {"sx": cx, "sy": cy, "sxx": cx * cx, "sxy": cx * cy, "syy": cy * cy}
+    rows = series.select(*keys, F.row_number().over(w).alias("i"), F.col(x).alias("x"), *[F.sum(c).over(upto).alias(k) for k, c in sums.items()])
+    all_rows = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("i", "x", *sums))).alias("pts"))
+    from_zero = lambda k: F.concat(F.array(F.lit(0.0)), F.transform("pts", lambda p: F.coalesce(p[k], F.lit(0.0))))
+    return all_rows.withColumns({k: from_zero(k) for k in sums}).withColumn("m", F.size("pts"))
+
+
+def _or_mean(found: DataFrame, series: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
+    """A series too short for a break keeps its row, with the mean of x."""
+    means = series.groupBy(*keys).agg(F.avg(x).alias("__mean"))
+    joined = join_keys(means, found, keys, "left")
+    return joined.withColumn("break_x", F.coalesce("break_x", "__mean")).drop("__mean")
 
 
 def _sse(i: Column, j: Column) -> Column:
@@ -88,16 +96,17 @@ def _sse(i: Column, j: Column) -> Column:
 
 
 def two_segment_break(series: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
-    """Split with the least total error of two lines, at least two points on each side."""
+    """Split with the least total error of two lines, at least two points on each side; under five points the mean of x."""
     p = _prefix(series, keys, x, y)
     i = F.col("i")
     cand = p.where(F.col("m") >= 5).withColumn("i", F.explode(F.sequence(F.lit(2), F.col("m") - 3)))
     e = cand.select(*keys, (_sse(F.lit(0), i) + _sse(i, F.col("m"))).alias("sse"), F.col("pts")[i]["x"].alias("break_x"), "i")
-    return e.groupBy(*keys).agg(F.min_by("break_x", F.struct("sse", "i")).alias("break_x"), F.min("sse").alias("sse"))
+    best = e.groupBy(*keys).agg(F.min_by("break_x", F.struct("sse", "i")).alias("break_x"), F.min("sse").alias("sse"))
+    return _or_mean(best, series, keys, x)
 
 
 def three_segment_break(series: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
-    """Best pair of splits; the second is reported when the first lies left of the middle."""
+    """Best pair of splits; the second is reported when the first lies left of the middle; under seven points the mean of x."""
     p = _prefix(series, keys, x, y).where(F.col("m") >= 7)
     i, j, m = F.col("i"), F.col("j"), F.col("m")
     cand = p.withColumn("i", F.explode(F.sequence(F.lit(2), m - 5))).withColumn("j", F.explode(F.sequence(i + 2, m - 3)))
@@ -106,7 +115,8 @@ def three_segment_break(series: DataFrame, keys: Sequence[str], x: str, y: str)
     mid = (pts[0]["x"] + pts[m - 1]["x"]) / 2
     chosen = F.when(pts[i]["x"] < mid, pts[j]["x"]).otherwise(pts[i]["x"])
     e = cand.select(*keys, sse.alias("sse"), chosen.alias("break_x"), "i", "j")
-    return e.groupBy(*keys).agg(F.min_by("break_x", F.struct("sse", "i", "j")).alias("break_x"), F.min("sse").alias("sse"))
+    best = e.groupBy(*keys).agg(F.min_by("break_x", F.struct("sse", "i", "j")).alias("break_x"), F.min("sse").alias("sse"))
+    return _or_mean(best, series, keys, x)
 
 
 def _local_regression(x: np.ndarray, y: np.ndarray, frac: float, rounds: int = 3) -> np.ndarray:
@@ -135,9 +145,8 @@ def _local_regression(x: np.ndarray, y: np.ndarray, frac: float, rounds: int = 3
 
 
 def second_derivative_break(series: DataFrame, keys: Sequence[str], x: str, y: str, frac: float = 0.5) -> DataFrame:
-    """Largest second derivative of the smoothed series; a series has at most MAX_BINS binned points."""
+    """Largest second derivative of the smoothed series of binned points; under three points the mean of x."""
     pts = series.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(x).alias("x"), F.col(y).alias("y")))).alias("pts"))
-    pts = pts.where(F.size("pts") <= MAX_BINS)
 
     @F.pandas_udf(T.DoubleType())
     def bend(xs: pd.Series, ys: pd.Series) -> pd.Series:
@@ -145,7 +154,7 @@ def second_derivative_break(series: DataFrame, keys: Sequence[str], x: str, y: s
         for a, b in zip(xs, ys):
             a, b = np.asarray(a, float), np.asarray(b, float)
             if len(a) < 3:
-                out.append(None)
+                out.append(float(a.mean()) if len(a) else None)
                 continue
             second = np.gradient(np.gradient(_local_regression(a, b, frac), a), a)
             out.append(float(a[int(np.argmax(second))]))

@@ -12,12 +12,23 @@ from screenforge.operators.skew import first_row
 
 
 # --- reading ----------------------------------------------------------------------------------
-def read_batches(spark: SparkSession, paths: str | Sequence[str], skip_unreadable: bool = True) -> DataFrame:
-    """All batch files as one table; schemas merge, unreadable files can be skipped."""
+def read_batches(spark: SparkSession, paths: str | Sequence[str], skip_unreadable: bool = False) -> DataFrame:
+    """All batch files as one table; schemas merge. Unreadable files fail the read unless skipping is asked for; see ``unreadable_files``."""
     reader = spark.read.option("mergeSchema", "true").option("ignoreCorruptFiles", str(skip_unreadable).lower())
     return reader.parquet(*([paths] if isinstance(paths, str) else paths))
 
 
+def unreadable_files(spark: SparkSession, folder: str, pattern: str = "*.parquet") -> DataFrame:
+    """(path, bytes) of the files under ``folder`` that are no whole Parquet file: what a skipping read leaves out.
+
+    A Parquet file starts and ends with its four-byte mark; every file is looked at by a task.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
+    mark = F.lit(bytearray(b"PAR1"))
+    whole = (F.col("length") >= 12) & (F.substring("content", 1, 4) == mark) & (F.substring("content", -4, 4) == mark)
+    return files.where(~whole).select("path", F.col("length").alias("bytes"))
+
+
 def read_partition(spark: SparkSession, path: str, batch: str, column: str = "batch_id", columns: Sequence[str] = ()) -> DataFrame:
     """One batch; the filter and the column list reach the scan."""
     df = spark.read.parquet(path).where(F.col(column) == batch)
