@@ -23,7 +23,7 @@ from screenforge.llm.text import slices
 from screenforge.session import checkpointed
 
 #: Characters of a part that is encoded at once; pieces that a worker remembers, and their length.
-LEAF, CACHE, CACHED_CHARS = 49_152, 200_000, 40
+LEAF, CACHE, CACHED_CHARS = 49_152, 100_000, 40
 PIECE = re.compile(r"\s*\S+|\s+")
 #: White space to Python alone; a text with one is not cut beside it.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -132,12 +132,20 @@ def concatenate(tokenizer, table: list[bytes], parts: list[list[int]]) -> list[i
 
 
 _STATE: dict[str, tuple] = {}
+_TABLE: dict[str, list[bytes]] = {}
+
+
+def _table(token: str, tokenizer_json: str) -> list[bytes]:
+    if token not in _TABLE:
+        _TABLE.clear()
+        _TABLE[token] = token_bytes(tokenizer_json)
+    return _TABLE[token]
 
 
 def _state(token: str, tokenizer_json: str) -> tuple:
     if token not in _STATE:
         _STATE.clear()
-        _STATE[token] = (load(tokenizer_json), token_bytes(tokenizer_json), {})
+        _STATE[token] = (load(tokenizer_json), _table(token, tokenizer_json), {})
     return _STATE[token]
 
 
@@ -193,7 +201,7 @@ def decode(encoded: DataFrame, tokenizer_json: str) -> DataFrame:
     token = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _state(token, shared.value)[1]
+        table = _table(token, shared.value)
         for b in slices(batches):
             text = [b"".join(map(table.__getitem__, np.frombuffer(x, "<u4").tolist())).decode(errors="replace") for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])

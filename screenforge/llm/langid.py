@@ -23,7 +23,7 @@ MAX_PIECE, MAX_WORD = 6, 24
 #: Labelled documents per language that the model is fitted on (expected number; chosen by hash).
 FIT_DOCS = 600
 #: Words whose scores a worker remembers.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 150_000
 
 
 def public_pieces(tokenizer_json: str, max_piece: int = MAX_PIECE) -> dict[str, int]:
@@ -83,7 +83,7 @@ def log_scores(found: list[str], pieces: dict[str, int], prob: np.ndarray) -> np
     lengths = np.fromiter(map(len, found), np.int64, len(found))
     out = np.empty((len(found), prob.shape[1]))
     order = np.argsort(lengths, kind="stable")
-    for part in np.array_split(order, max(1, len(order) // 4096)):
+    for part in np.array_split(order, max(1, len(order) // 1024)):
         if len(part):
             alpha = forward(lattice([found[i] for i in part], pieces), lengths[part], prob)
             out[part] = np.log(alpha[np.arange(len(part)), lengths[part]])
@@ -158,7 +158,7 @@ def fit(docs: DataFrame, pieces: dict[str, int], fit_docs: int = FIT_DOCS) -> tu
 
 
 _COUNTS = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
-_CACHE: dict[str, dict[str, np.ndarray]] = {}
+_CACHE: dict[str, tuple[dict[str, int], np.ndarray]] = {}  # word: row of the scores
 
 
 def predict(docs: DataFrame, langs: list[str], prob: np.ndarray, pieces: dict[str, int]) -> DataFrame:
@@ -175,30 +175,36 @@ def predict(docs: DataFrame, langs: list[str], prob: np.ndarray, pieces: dict[st
         langs, prob, pieces = model.value
         if token not in _CACHE:
             _CACHE.clear()
-        known = _CACHE.setdefault(token, {})
-        for b in slices(batches):
+            _CACHE[token] = {}, np.zeros((CACHE_WORDS + 65_536, len(langs)))
+        known, scores = _CACHE[token]
+        for b in slices(batches, 128):
             bags = [letter_words(t) for t in b.column("text").to_pylist()]
             new = {w for bag in bags for w in bag}.difference(known)
+            names: list[str] = []
             if new and langs:
-                if len(known) + len(new) > CACHE_WORDS:
-                    known.clear()
-                    new = {w for bag in bags for w in bag}
+                if len(known) + len(new) > len(scores):  # very long texts
+                    scores = np.concatenate([scores[: len(known)], np.zeros((2 * len(new), len(langs)))])
+                    _CACHE[token] = known, scores
                 names = list(new)
                 cut = [(i, s) for i, w in enumerate(names) for s in _spans(w)]
                 sums = np.zeros((len(names), len(langs)))
                 np.add.at(sums, [i for i, _ in cut], log_scores([s for _, s in cut], pieces, prob))
-                known.update(zip(names, sums, strict=True))
+                scores[len(known) : len(known) + len(names)] = sums
+                known.update(zip(names, range(len(known), len(known) + len(names)), strict=True))
             best, share = [], []
             for bag in bags:
                 if not bag or not langs:
                     best.append("und")
                     share.append(0.0)
                     continue
-                total = np.sum([known[w] for w in bag], axis=0)
+                total = scores[list(map(known.__getitem__, bag))].sum(0)
                 e = np.exp(total - total.max())
                 k = int(np.argmax(total))
                 best.append(langs[k])
                 share.append(float(e[k] / e.sum()))
+            if len(known) > CACHE_WORDS:  # the words that came first are the common ones
+                for w in names:
+                    del known[w]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(best, pa.string()), pa.array(share, pa.float64()), pa.array([len(x) for x in bags], pa.int64())], names=["doc_id", "lang_pred", "score", "n_words"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(score, "doc_id long, lang_pred string, score double, n_words long")
