@@ -47,7 +47,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, exact): token ids of the whole text, and whether decoding gives the text back."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): digests of the whole text's token ids and of the text they decode to."""
     spec = queries.tokenizer_json()
     return bpe.digests(bpe.decode(bpe.encode(docs, spec), spec))
 
