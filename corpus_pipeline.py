@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from screenforge.llm import bpe, chains, mixing, oddsketch, queries
+from screenforge.llm.text import short_batches
 from screenforge.session import checkpointed
 
 
@@ -15,6 +16,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     The model learns from documents that name their language. Texts that are null or have no letter
     go. Repeated rows and rows that share a doc_id are judged each by their own text.
     """
+    short_batches(spark)
     rows = docs.withColumn("__key", F.xxhash64("text"))
     found = queries.languages(docs, docs.select(F.xxhash64("text").alias("doc_id"), "text"))
     sure = found.where((F.col("lang_pred") != "und") & (F.col("score") >= 0.5)).groupBy("doc_id").agg(F.min("lang_pred").alias("__lang"))
@@ -27,6 +29,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows that share a doc_id are one document; the one with the first text stays. Rows without
     doc_id stay.
     """
+    short_batches(spark)
     kept = oddsketch.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id")).where("__id IS NOT NULL").distinct()
     stays = docs.join(kept, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
     return stays.unionByName(docs.where("doc_id IS NULL"))
@@ -34,6 +37,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier document has; those left without words go."""
+    short_batches(spark)
     return chains.without_repeats(docs, chains.passages(docs))
 
 
@@ -48,6 +52,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): digests of the whole text's token ids and of the text they decode to."""
+    short_batches(spark)
     spec = queries.tokenizer_json()
     return bpe.digests(bpe.decode(bpe.encode(docs, spec), spec))
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from screenforge.llm import bpe, brown, chains, langid, mixing, oddsketch, onebit, quality, ranges, rotate
-from screenforge.llm.text import remainder
+from screenforge.llm.text import remainder, short_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -49,11 +49,13 @@ def languages(learn: DataFrame, docs: DataFrame) -> DataFrame:
 
 @query
 def op1_quality(spark: SparkSession, sf: str) -> DataFrame:
+    short_batches(spark)
     return quality.graded(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
 @query
 def op2_language(spark: SparkSession, sf: str) -> DataFrame:
+    short_batches(spark)
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
     held_out = remainder(F.col("doc_id"), 4) == 2
     found = languages(docs.where(~held_out & F.col("doc_id").isNotNull()), docs)
@@ -88,6 +90,7 @@ def op7_perspectives(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def op8_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    short_batches(spark)
     spec = tokenizer_json()
     return bpe.digests(bpe.decode(bpe.encode(table(spark, sf, "documents"), spec), spec))
 

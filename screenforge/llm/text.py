@@ -7,11 +7,23 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of text that a worker holds as Python objects at once.
 SLICE_ROWS = 256
+#: Rows of an Arrow batch of whole texts, and Spark's setting for it.
+BATCH_ROWS, BATCH_KEY = 2048, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``BATCH_ROWS`` rows in this session; a smaller setting stays.
+
+    A batch of whole texts is held by the executor and by its worker at the same time, and Spark
+    reads the setting when a result is computed, so it holds for the session.
+    """
+    if not 0 < int(spark.conf.get(BATCH_KEY, "10000")) <= BATCH_ROWS:
+        spark.conf.set(BATCH_KEY, str(BATCH_ROWS))
 
 
 def words(text: str | None) -> list[bytes]:
