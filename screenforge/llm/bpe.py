@@ -10,6 +10,7 @@ its edges agree with both sides.
 from __future__ import annotations
 
 import json
+import os
 import re
 import uuid
 from collections.abc import Iterator
@@ -30,9 +31,10 @@ ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
 def load(tokenizer_json: str):  # noqa: ANN201
-    """The library's tokenizer with truncation and padding off."""
+    """The library's tokenizer with truncation and padding off, on one thread: a task has one core."""
     from tokenizers import Tokenizer
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     t = Tokenizer.from_str(tokenizer_json)
     t.no_truncation()
     t.no_padding()
