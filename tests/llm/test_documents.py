@@ -213,6 +213,27 @@ def test_passages_planted(spark):
     assert len(kept.get(3, [])) <= 2
 
 
+def test_passages_without_one_first_place(spark):
+    """Text that repeats itself, and passages whose parts stood in other documents before and between."""
+    rng = np.random.default_rng(8)
+    fresh = lambda n: ["".join(chr(97 + x) for x in rng.integers(0, 26, 6)) for _ in range(n)]
+    line, passage, long_ = fresh(12), fresh(120), fresh(40)
+    parts = [passage[i : i + 30] for i in range(0, 120, 30)]
+    rows = [(10 + i, [*fresh(9), *p, *fresh(9)]) for i, p in enumerate(parts)]
+    rows += [(20, [*fresh(15), *passage, *fresh(15)])]
+    rows += [(30 + i, [*fresh(9), *p, *fresh(9)]) for i, p in enumerate(parts)]
+    rows += [(40, [*fresh(25), *passage, *fresh(5)])]
+    rows += [(1, [*fresh(10), *line * 8, *fresh(10)]), (2, [*fresh(3), *line[5:], *line * 7, *fresh(10)])]
+    rows += [(3, [*fresh(10), *long_ * 40]), (4, [*long_[20:], *long_ * 35, *fresh(30)])]
+    got = chains.passages(frame(spark, [(i, " ".join(w), None) for i, w in rows])).collect()
+    covered = {}
+    for r in got:
+        covered.setdefault(r["doc_id"], set()).update(range(r["start"], r["end"]))
+    assert set(covered) == {2, 4, 40}
+    assert covered[40] == set(range(25, 145)) and {r["ref_doc_id"] for r in got if r["doc_id"] == 40} == {20}
+    assert covered[2] == set(range(3, 94)) and covered[4] == set(range(20 + 35 * 40))
+
+
 def best_chain(anchors, cost, gap):
     """Score of the best chain by the quadratic recursion."""
     scores = []
