@@ -95,7 +95,8 @@ def m10(spark, sf):
 @query("m11_subclusters")
 def m11(spark, sf):
     p = prof(spark, sf).withColumn("cluster", F.col("perturbation").cast("int"))
-    return C.subclusters(p, [0, 1, 2]).groupBy("cluster", "subcluster").agg(F.count(F.lit(1)).alias("n"))
+    clusters = sorted(r[0] for r in p.select("cluster").where("cluster IS NOT NULL").distinct().collect())
+    return C.subclusters(p, clusters).groupBy("cluster", "subcluster").agg(F.count(F.lit(1)).alias("n"))
 
 
 SIL = f"""{PD}, g AS (SELECT id, ga, gb, avg(dist) AS m FROM d GROUP BY 1, 2, 3), s AS (SELECT id, ga, max(m) FILTER (ga = gb) AS a, min(m) FILTER (ga <> gb) AS b FROM g GROUP BY 1, 2)"""
@@ -179,7 +180,7 @@ def m19(spark, sf):
 def m20(spark, sf):
     p = prof(spark, sf).withColumnRenamed("perturbation", "gene")
     sets = p.select("gene", F.when(F.col("gene").cast("int") < 3, 0).otherwise(1).alias("set_id")).distinct()
-    return C.cohesion_per_space(p, sets, {"r0": range(16), "r1": range(16, 32)})
+    return C.cohesion_per_space(p, sets, {f"r{i}": range(16 * i, 16 * i + 16) for i in range(4)})
 
 
 @query("m21_feature_smoothness", f"""WITH {P}, e AS (SELECT id, features[1:2] AS xy FROM profiles), nn AS (SELECT a.id, b.id AS o FROM e a JOIN e b ON a.id <> b.id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.xy, b.xy), b.id) <= 30),
