@@ -234,6 +234,43 @@ def test_passages_without_one_first_place(spark):
     assert covered[2] == set(range(3, 94)) and covered[4] == set(range(20 + 35 * 40))
 
 
+def best_local(a, b, sim=0.8):
+    """(words of a, words of b, equal words) of the best local alignment, by the quadratic recursion."""
+    best, prev = (0.0, 0, 0, 0), [(0.0, 0, 0, 0)] * (len(b) + 1)
+    for x in a:
+        row = [(0.0, 0, 0, 0)]
+        for j, y in enumerate(b, 1):
+            d, u, v = prev[j - 1], prev[j], row[j - 1]
+            row.append(max((0.0, 0, 0, 0), (d[0] + ((1 - sim) if x == y else -sim), d[1] + (x == y), d[2] + 1, d[3] + 1), (u[0] - sim / 2, u[1], u[2] + 1, u[3]), (v[0] - sim / 2, v[1], v[2], v[3] + 1)))
+        best, prev = max(best, *row), row
+    return best[2], best[3], best[1]
+
+
+def test_fuzzy_passages_beside_quadratic_alignment(spark):
+    rng = np.random.default_rng(21)
+    word = lambda: "".join(chr(97 + x) for x in rng.integers(0, 26, 6))
+    fresh = lambda n: [word() for _ in range(n)]
+    rows, of, want = [], {}, {}
+    for sim in (0.8, 0.85, 0.9):
+        for n in (55, 63, 80):
+            for _ in range(100 if sim == 0.8 else 25):
+                passage, i = fresh(n), len(rows)
+                edited = list(passage)
+                for x in rng.choice(n, int((1 - sim) * n + 1e-9), replace=False):
+                    edited[x] = word()
+                a, b = [*fresh(15), *passage, *fresh(15)], [*fresh(15), *edited, *fresh(15)]
+                rows += [(i, " ".join(a), None), (i + 1, " ".join(b), None)]
+                of[i + 1] = sim
+                u, v, equal = best_local(a, b)
+                if min(u, v) >= 50 and equal / max(u, v) >= 0.8:
+                    want.setdefault(sim, set()).add(i + 1)
+    got = {r["doc_id"] for r in chains.passages(frame(spark, rows)).collect()}
+    recall = {sim: len(ids & got) / len(ids) for sim, ids in want.items()}
+    print("recall", {k: (len(v), recall[k]) for k, v in want.items()})
+    assert got <= set(of) and min(map(len, want.values())) >= 15
+    assert recall[0.8] >= 0.9 and recall[0.85] >= 0.97 and recall[0.9] >= 0.97
+
+
 def best_chain(anchors, cost, gap):
     """Score of the best chain by the quadratic recursion."""
     scores = []
