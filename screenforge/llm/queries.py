@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from pathlib import Path
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from screenforge.llm import bpe, brown, chains, langid, mixing, oddsketch, onebit, quality, ranges, rotate
+from screenforge.llm import bpe, brown, chains, langid, mixing, oddsketch, onebit, quality, ranges, rmq, rotate
 from screenforge.llm.text import remainder, short_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +104,29 @@ def op9_range_join(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op10_one_bit(spark: SparkSession, sf: str) -> DataFrame:
     return onebit.search(table(spark, sf, "embeddings"))
+
+
+_FOLD = f"translate(text, '{ascii_uppercase}', '{ascii_lowercase}')"
+_TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+@query
+def op11_range_maximum(spark: SparkSession, sf: str) -> DataFrame:
+    short_batches(spark)
+    return rmq.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+SQL["op11_range_maximum"] = f"""
+WITH held AS (SELECT doc_id, regexp_extract_all({_FOLD}, '{_TERMS}') AS t FROM documents),
+d AS (SELECT row_number() OVER () AS row, doc_id, t, len(t) AS n FROM held WHERE len(t) > 0),
+total AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM d),
+tf AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(t) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, total GROUP BY term, n_docs),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all({_FOLD}, '{_TERMS}')) AS term FROM benchmark) GROUP BY ALL),
+s AS (
+  SELECT item_id, row, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN tf USING (term) JOIN d USING (row), total GROUP BY ALL
+),
+r AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s JOIN d USING (row) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20
+"""
