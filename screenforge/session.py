@@ -34,13 +34,12 @@ def group_limit(spark: SparkSession) -> int:
     return int(spark.conf.get(GROUP_LIMIT_KEY, str(GROUP_LIMIT_DEFAULT)))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder of the cluster.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate results that all executors share.
 
-    The folder is the session's own ``spark.checkpoint.dir``; a temporary folder is set
-    only when the session names none and Spark runs in local mode.
+    It is the session's own ``spark.checkpoint.dir``; a temporary folder is set only when the
+    session names none and Spark runs in local mode.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -49,4 +48,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
             configured = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
         sc.setCheckpointDir(configured)
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder of the cluster."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
