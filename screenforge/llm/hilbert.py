@@ -224,7 +224,7 @@ def read(asking: DataFrame, packs: DataFrame, table: DataFrame, k: int) -> DataF
                 size, row = at["size"].as_py(), at["row"].values.to_numpy()
                 mine = np.flatnonzero(np.isin(row, at["asking"].values.to_numpy()))
                 ids, own = at["ids"].values.to_numpy(), at["vec_id"].values.to_numpy()
-                score = product(_nested(at["x"], size)[mine], unpack(at["c"].as_py())[0].reshape(-1, size))
+                score = product(_nested(at["x"], size)[mine], unpack(at["c"].as_py())[0].reshape(len(ids), size))
                 lows, highs = at["lows"].as_py(), at["highs"].as_py()
                 for a, s in zip(mine, score, strict=True):
                     for lo, hi in zip(lows[a], highs[a], strict=True):

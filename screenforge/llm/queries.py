@@ -9,7 +9,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from screenforge.llm import bpe, brown, chains, hilbert, langid, mixing, oddsketch, onebit, quality, ranges, rmq, rotate
+from screenforge.llm import bpe, brown, chains, hilbert, langid, mixing, oddsketch, onebit, quality, ranges, rmq, rotate, suffixes
 from screenforge.llm.text import remainder, short_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,6 +132,14 @@ SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20
 """
 
 
+@query
+def op12_difference_cover(spark: SparkSession, sf: str) -> DataFrame:
+    short_batches(spark)
+    found = suffixes.repeats(table(spark, sf, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op13_hilbert_blocks(spark: SparkSession, sf: str) -> DataFrame:
     label = F.col("label").cast("long")
