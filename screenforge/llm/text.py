@@ -10,6 +10,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from screenforge.session import checkpointed
+
 #: Rows of text that a worker holds as Python objects at once.
 SLICE_ROWS = 256
 #: Rows of an Arrow batch of whole texts, and Spark's setting for it.
@@ -26,6 +28,20 @@ def short_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_KEY, str(BATCH_ROWS))
 
 
+def checkpointed_as_dealt(df: DataFrame) -> DataFrame:
+    """A checkpoint whose reader knows how the rows are dealt out, so that a join on that key moves the other side only.
+
+    The plan has to be final before it runs for that, so it is not adapted meanwhile.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    before = conf.get(key, "true")
+    conf.set(key, "false")
+    try:
+        return checkpointed(df)
+    finally:
+        conf.set(key, before)
+
+
 def words(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, as UTF-8 bytes; none for null."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
