@@ -14,12 +14,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from screenforge.operators import pairs as PR
+from screenforge.operators.communities import modularity_communities
 from screenforge.operators.graph import connected_components
 from screenforge.operators.longform import array_to_long
 from screenforge.operators.records import hash_order
 from screenforge.operators.skew import average_rank, first_row
 from screenforge.operators.windows import components_to_reach, min_max_composite
-from screenforge.session import checkpointed
+from screenforge.session import checkpointed, stored
 
 
 # --- principal components ---------------------------------------------------------------------
@@ -189,33 +190,17 @@ def knn_graph(profiles: DataFrame, k: int) -> DataFrame:
     return e.groupBy("src", "dst").agg(F.max("weight").alias("weight"))
 
 
-def communities(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """(id, community) by weighted label propagation: a node takes the label with the largest summed
-    weight among its neighbours (ties to the smallest), and moves only if that beats its own label.
+def communities(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """(id, community) of the largest modularity that merging and moving reach; see ``operators.communities``."""
+    return modularity_communities(edges, resolution)
 
-    Half of the nodes, another half by hash in each round, may move, so neighbours do not swap
-    labels for ever. Ends when no node wants to move; raises if that is not reached.
-    """
-    both = checkpointed(edges.select(F.col("src").alias("id"), F.col("dst").alias("other"), "weight").union(edges.select(F.col("dst"), F.col("src"), "weight")))
-    labels = checkpointed(both.select("id").distinct().withColumn("community", F.col("id")))
-    for r in range(max_rounds):
-        given = labels.select(F.col("id").alias("other"), F.col("community").alias("c"))
-        votes = both.join(given, "other").groupBy("id", "c").agg(F.round(F.sum("weight"), 9).alias("w"))
-        mine = labels.select(F.col("id"), F.col("community").alias("now"))
-        best = votes.join(mine, "id").groupBy("id", "now").agg(
-            F.min_by(F.struct("c", "w"), F.struct((-F.col("w")).alias("a"), F.col("c").alias("b"))).alias("best"),
-            F.coalesce(F.max(F.when(F.col("c") == F.col("now"), F.col("w"))), F.lit(0.0)).alias("own"),
-        )
-        wants = F.col("best.w") > F.col("own")
-        turn = F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2)) == 0
-        moved = checkpointed(best.select("id", F.when(wants & turn, F.col("best.c")).otherwise(F.col("now")).alias("community"), wants.alias("wants")))
-        labels = moved.select("id", "community")
-        if moved.where("wants").isEmpty():
-            return labels
-    raise RuntimeError("communities did not settle")
-
-
-def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
+
+@clusterer("communities")
+def _communities(profiles: DataFrame, k: int = 15, resolution: float = 1.0) -> DataFrame:
+    return communities(stored(knn_graph(profiles, k)), resolution).withColumnRenamed("community", "cluster")
+
+
+def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) -> DataFrame:
     a = labels.select(F.col("id").alias("src"), F.col("community").alias("ca"))
     b = labels.select(F.col("id").alias("dst"), F.col("community").alias("cb"))
     e = edges.join(a, "src").join(b, "dst")
@@ -223,7 +208,7 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     ends = e.select(F.col("ca").alias("c"), "weight").union(e.select("cb", "weight")).groupBy("c").agg(F.sum("weight").alias("degree"))
     m = edges.select(F.sum("weight")).scalar()
     q = ends.join(inside, "c", "left").withColumn("m", m)
-    part = F.coalesce("inside", F.lit(0.0)) / F.col("m") - F.pow(F.col("degree") / (2 * F.col("m")), F.lit(2))
+    part = F.coalesce("inside", F.lit(0.0)) / F.col("m") - resolution * F.pow(F.col("degree") / (2 * F.col("m")), F.lit(2))
     return q.agg(F.sum(part).alias("modularity"), F.count(F.lit(1)).alias("n_communities"))
 
 

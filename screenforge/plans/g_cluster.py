@@ -10,6 +10,7 @@ from screenforge.operators.longform import array_to_long
 from screenforge.plans import tables as T
 from screenforge.plans.f_retrieval import REPORTERS
 from screenforge.plans.registry import query
+from screenforge.session import stored
 
 P = T.PROFILES
 PD = f"{P}, d AS (SELECT a.id, a.perturbation AS ga, b.id AS other, b.perturbation AS gb, list_distance(a.features, b.features) AS dist FROM profiles a JOIN profiles b ON a.id <> b.id)"
@@ -78,10 +79,7 @@ def m8(spark, sf):
 
 @query("m9_communities")
 def m9(spark, sf):
-    e = C.knn_graph(prof(spark, sf), 10)
-    from screenforge.session import checkpointed
-
-    e = checkpointed(e)
+    e = stored(C.knn_graph(prof(spark, sf), 10))
     return C.modularity(e, C.communities(e))
 
 

@@ -70,12 +70,10 @@ def test_deep_and_cyclic_hierarchies(spark):
     assert rows(got.where("cluster >= 100"), "cluster", "gene") == [(100, "x"), (100, "y"), (101, "x"), (101, "y")]
 
 
-def test_communities_settle_or_raise(spark):
+def test_communities_settle(spark):
     edges = spark.createDataFrame([(a, b, 1.0) for a, b in [(1, 2), (2, 3), (1, 3), (4, 5), (5, 6), (4, 6)]], "src int, dst int, weight double")
     got = {r["id"]: r["community"] for r in cluster.communities(edges).collect()}
     assert len({got[1], got[2], got[3]}) == 1 and len({got[4], got[5], got[6]}) == 1 and got[1] != got[4]
-    with pytest.raises(RuntimeError):
-        cluster.communities(edges, max_rounds=1)
 
 
 def test_equal_objects_stay_two(spark):
