@@ -58,9 +58,17 @@ _SIDES = ("mean", "std", "n", "control_mean", "control_std", "control_n")
 
 
 def differential_features(long: DataFrame, control: Column, min_control_std: float = 1e-6, with_p: bool = True) -> DataFrame:
-    """Perturbed against control per feature: z, fold change, log2 fold change, Welch p and BH."""
-    m = control_moments(long, control).where(F.col("control_std") > min_control_std)
-    t, dof = welch(*[F.col(c) for c in _SIDES])
+    """Perturbed against control per feature: z, fold change, log2 fold change, Welch p and BH.
+
+    A feature with one control row has effects with a control deviation of 1 and no t or p; one
+    perturbed row has no t or p either. A null p counts as 1 in BH. Features without a row on one
+    side are left out.
+    """
+    alone = F.col("control_n") == 1
+    m = control_moments(long, control).where((alone | (F.col("control_std") > min_control_std)) & (F.col("n") > 0))
+    m = m.withColumn("control_std", F.when(alone, 1.0).otherwise(F.col("control_std")))
+    enough = (F.col("control_n") > 1) & (F.col("n") > 1)
+    t, dof = (F.when(enough, c) for c in welch(*[F.col(c) for c in _SIDES]))
     out = m.select(
         "feature", *_SIDES,
         ((F.col("mean") - F.col("control_mean")) / F.col("control_std")).alias("z"),

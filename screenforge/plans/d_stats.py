@@ -31,6 +31,27 @@ WELCH = """(mean - control_mean) / sqrt(std * std / n + control_std * control_st
  / (pow(std * std / n, 2) / (n - 1) + pow(control_std * control_std / control_n, 2) / (control_n - 1)) AS dof"""
 
 
+
+
+def student_p(source: str) -> str:
+    """CTE ``pv``: ``source`` with the two-sided p of Student's t, by Simpson's rule instead of a continued fraction.
+
+    With t = sqrt(dof) tan(a) the tail is a multiple of the integral of cos(a)^(dof - 1) up to a right
+    angle; the integrand is taken relative to its first value, so that small p keep their digits.
+    """
+    weight = "CASE WHEN i = 0 OR i = 1000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    total = f"list_sum(list_transform(range(0, 1001), lambda i: {weight} * exp((dof - 1) * (ln(cos(a0 + wide * i / 1000)) - ln(cos(a0))))))"
+    return f"""pa AS (SELECT *, atan(abs(t) / sqrt(dof)) AS a0 FROM {source}), pw AS (SELECT *, least(pi() / 2 - a0, 12 / sqrt(greatest(dof - 1, 1e-9)), 60 / greatest((dof - 1) * tan(a0), 1e-9)) AS wide FROM pa),
+pv AS (SELECT * EXCLUDE (a0, wide), exp(ln(2) + lgamma((dof + 1) / 2) - lgamma(dof / 2) - ln(pi()) / 2 + (dof - 1) * ln(cos(a0)) + ln(wide / 3000 * {total})) AS p FROM pw)"""
+
+
+def bh(source: str, keys: str = "") -> str:
+    """CTE ``adjusted``: ``source`` with Benjamini-Hochberg's p_adj within ``keys``; a null p counts as 1."""
+    part = f"PARTITION BY {keys} " if keys else ""
+    raw = f"least(1.0, coalesce(p, 1.0) * count(*) OVER ({part}) / count(*) OVER ({part}ORDER BY coalesce(p, 1.0) RANGE UNBOUNDED PRECEDING))"
+    return f"""bw AS (SELECT *, {raw} AS raw FROM {source}), adjusted AS (SELECT * EXCLUDE (raw), min(raw) OVER ({part}ORDER BY coalesce(p, 1.0) DESC RANGE UNBOUNDED PRECEDING) AS p_adj FROM bw)"""
+
+
 @query("r1_control_z", f"""WITH {LONG}, c AS (SELECT feature, avg(value) AS mu, stddev_samp(value) AS sd FROM l WHERE gene = '0' GROUP BY 1),
 z AS (SELECT gene, l.feature, (value - mu) / nullif(sd, 0) AS z FROM l LEFT JOIN c USING (feature)) SELECT gene, feature, avg(z) AS mean_z, max(z) AS max_z FROM z GROUP BY 1, 2""", doubles="mean_z max_z")
 def r1(spark, sf):
@@ -81,7 +102,9 @@ def r5(spark, sf):
     return R.differential_features(long(spark, sf), control(), with_p=False)
 
 
-@query("r5_differential_p_values")
+@query("r5_differential_p_values", f"""WITH {LONG}, {MOMENTS}, w AS (SELECT *, {WELCH} FROM m WHERE control_std > 1e-6), {student_p("w")}, {bh("pv")}
+SELECT feature, mean, std, n, control_mean, control_std, control_n, (mean - control_mean) / control_std AS z, mean / nullif(control_mean, 0) AS fold_change, log2((mean + 1e-10) / (control_mean + 1e-10)) AS log2_fc, t, dof, p, p_adj FROM adjusted""",
+       doubles="mean std control_mean control_std z fold_change log2_fc t dof p p_adj", digits=4)
 def r5p(spark, sf):
     return R.differential_features(long(spark, sf), control())
 
@@ -94,12 +117,17 @@ def r6(spark, sf):
     return v.select("gene", "feature", "mean", "n", "log2_fc", "t", "dof")
 
 
-@query("r6_gene_feature_p_values")
+@query("r6_gene_feature_p_values", f"""WITH {LONG}, c AS (SELECT feature, avg(value) AS control_mean, stddev_samp(value) AS control_std, count(value) AS control_n FROM l WHERE gene = '0' GROUP BY 1),
+g AS (SELECT gene, feature, avg(value) AS mean, stddev_samp(value) AS std, count(value) AS n FROM l WHERE gene <> '0' GROUP BY 1, 2 HAVING count(value) >= 2), w AS (SELECT *, {WELCH} FROM g JOIN c USING (feature)), {student_p("w")}, {bh("pv", "feature")}
+SELECT gene, feature, mean, std, n, control_mean, control_std, control_n, log2((mean + 1e-10) / (control_mean + 1e-10)) AS log2_fc, t, dof, p, p_adj, -log10(greatest(p, 1e-300)) AS neg_log10_p FROM adjusted""",
+       doubles="mean std control_mean control_std log2_fc t dof p p_adj neg_log10_p", digits=4)
 def r6p(spark, sf):
     return R.gene_feature_volcano(long(spark, sf), control())
 
 
-@query("r7_legacy_volcano")
+@query("r7_legacy_volcano", f"""WITH {LONG}, {MOMENTS}, w AS (SELECT *, {WELCH} FROM m), {student_p("w")}, o AS (SELECT * REPLACE (CASE WHEN n >= 2 AND control_n >= 2 THEN p ELSE 1.0 END AS p), log2((mean + 1e-10) / (control_mean + 1e-10)) AS log2_fc FROM pv),
+k AS (SELECT *, CASE WHEN p > 0 THEN -log10(p) END AS nlp FROM o), u AS (SELECT * EXCLUDE (nlp), CASE WHEN p = 0 THEN 1.1 * max(nlp) OVER () ELSE nlp END AS neg_log10_p FROM k) SELECT * FROM u WHERE log2_fc IS NOT NULL AND neg_log10_p IS NOT NULL""",
+       doubles="mean std control_mean control_std log2_fc t dof p neg_log10_p", digits=4)
 def r7(spark, sf):
     return R.legacy_volcano(long(spark, sf), control())
 
@@ -110,7 +138,10 @@ def r8(spark, sf):
     return R.pooled_volcano(long(spark, sf), control(), with_p=False).select("feature", "difference", "t", "dof")
 
 
-@query("r8_pooled_p_values")
+@query("r8_pooled_p_values", f"""WITH {LONG}, {MOMENTS}, v AS (SELECT *, CAST(n + control_n - 2 AS DOUBLE) AS dof, ((n - 1) * std * std + (control_n - 1) * control_std * control_std) / (n + control_n - 2) AS var FROM m),
+w AS (SELECT * EXCLUDE (var), mean - control_mean AS difference, (mean - control_mean) / sqrt(var * (1.0::DOUBLE / n + 1.0::DOUBLE / control_n)) AS t FROM v), {student_p("w")}
+SELECT *, CASE WHEN p < 0.05 / count(*) OVER () AND difference > 0.5 THEN 'up' WHEN p < 0.05 / count(*) OVER () AND difference < -0.5 THEN 'down' ELSE 'ns' END AS class FROM pv""",
+       doubles="mean std control_mean control_std difference t dof p", digits=4)
 def r8p(spark, sf):
     return R.pooled_volcano(long(spark, sf), control())
 
@@ -178,6 +209,12 @@ def a24(spark, sf):
     return S.grouped_by_base_metric(effects(spark, sf).select(F.concat("feature", tail).alias("feature"), "d"))
 
 
+@query("r16_named_group_p_values", f"""WITH {LONG}, {MOMENTS.replace("gene <> '0'", "gene IN ('1', '2', '3')")}, w AS (SELECT *, {WELCH} FROM m WHERE control_std > 1e-6), {student_p("w")}, {bh("pv")} SELECT feature, t, dof, p, p_adj FROM adjusted""", doubles="t dof p p_adj", digits=4)
+def r16p(spark, sf):
+    l = long(spark, sf).where(F.col("gene").isin("0", "1", "2", "3"))
+    return R.differential_features(l, control()).select("feature", "t", "dof", "p", "p_adj")
+
+
 @query("r16_named_group_test", f"""WITH {LONG}, {MOMENTS.replace("gene <> '0'", "gene IN ('1', '2', '3')")} SELECT feature, mean, n, control_mean, control_n, {WELCH} FROM m""", doubles="mean control_mean t dof", digits=4)
 def r16(spark, sf):
     l = long(spark, sf).where(F.col("gene").isin("0", "1", "2", "3"))
@@ -201,6 +238,13 @@ def r18(spark, sf):
     return s.agg(F.corr("a", "b").alias("r"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("n"))
 
 
+@query("r19_discrimination_significance", f"""WITH {T.OBJECT_LONG}, c AS (SELECT organelle, feature, avg(value) AS mu, stddev_pop(value) AS sd FROM object_long GROUP BY 1, 2),
+l AS (SELECT organelle, feature, gene, (value - mu) / sd AS value FROM object_long JOIN c USING (organelle, feature)), {MOMENTS.replace("SELECT feature,", "SELECT organelle, feature,").replace("GROUP BY feature", "GROUP BY organelle, feature")}, w AS (SELECT *, {WELCH} FROM m), {student_p("w")}
+SELECT organelle, avg(abs(mean - control_mean)) AS effect, avg(CASE WHEN coalesce(p, 1.0) < 0.05 THEN 1.0 ELSE 0.0 END) * 100 AS pct_significant FROM pv GROUP BY 1""", doubles="effect pct_significant")
+def r19p(spark, sf):
+    return R.discrimination(T.object_long(spark, sf), control(), ["organelle"])
+
+
 @query("r19_discrimination_effect", f"""WITH {T.OBJECT_LONG}, c AS (SELECT organelle, feature, avg(value) AS mu, stddev_pop(value) AS sd FROM object_long GROUP BY 1, 2),
 m AS (SELECT organelle, feature, avg((value - mu) / sd) FILTER (gene <> '0') - avg((value - mu) / sd) FILTER (gene = '0') AS diff FROM object_long JOIN c USING (organelle, feature) GROUP BY 1, 2)
 SELECT organelle, avg(abs(diff)) AS effect FROM m GROUP BY 1""", doubles="effect")

@@ -124,3 +124,12 @@ def test_resume_reads_only_new_files(spark, tmp_path):
     run()
     run()
     assert sorted((r["cell_id"], r["big"]) for r in spark.read.parquet(dst).collect()) == [(1, False), (2, True)]
+
+
+def test_single_control_row_gives_effects_without_p(spark):
+    rows = [("0", "f", 2.0), ("a", "f", 5.0), ("a", "f", 7.0), ("0", "g", 1.0), ("0", "g", 3.0), ("a", "g", 4.0), ("0", "h", 1.0), ("a", "i", 1.0), ("0", "j", 1.0), ("0", "j", 1.0), ("a", "j", 2.0)]
+    long = spark.createDataFrame(rows, "gene string, feature string, value double")
+    got = {r["feature"]: r for r in R.differential_features(long, F.col("gene") == "0").collect()}
+    assert set(got) == {"f", "g"}
+    assert (got["f"]["control_std"], got["f"]["z"], got["f"]["t"], got["f"]["p"], got["f"]["p_adj"]) == (1.0, 4.0, None, None, 1.0)
+    assert got["g"]["p"] is None and got["g"]["z"] == pytest.approx(2.0 / 2**0.5)
