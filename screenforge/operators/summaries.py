@@ -97,9 +97,9 @@ def duplicate_diagnosis(df: DataFrame, groups: dict[str, Sequence[str]]) -> Data
     return parts
 
 
-def effect_summary(effects: DataFrame, organelle: str = "organelle", d: str = "d") -> DataFrame:
-    """Per organelle: largest |d|, number of features, mean d and the feature with the largest |d|."""
-    return effects.groupBy(organelle).agg(
+def effect_summary(effects: DataFrame, organelle: str = "organelle", d: str = "d", keys: Sequence[str] = ()) -> DataFrame:
+    """Per organelle, within ``keys``: largest |d|, number of features, mean d and the feature with the largest |d|."""
+    return effects.groupBy(*keys, organelle).agg(
         F.max(F.abs(d)).alias("max_abs_d"), F.count(F.lit(1)).alias("n_features"), F.avg(d).alias("mean_d"),
         F.max_by("feature", F.struct(F.abs(d), "feature")).alias("top_feature"),
     )

@@ -300,12 +300,12 @@ def w2(spark, sf):
     return R.duplicate_keys(raw(spark, sf), ["well", "segmentation_id"])
 
 
-@query("w3_benjamini_hochberg", f"""WITH {T.OBJECTS}, t AS (SELECT organelle, cell_id, label, round((extent + eccentricity) / 2, 3) AS p FROM objects WHERE label = 1),
+@query("w3_benjamini_hochberg", f"""WITH {T.OBJECTS}, t AS (SELECT organelle, cell_id, label, round((extent + eccentricity) / 2, 3) AS p FROM objects),
 r AS (SELECT *, row_number() OVER (PARTITION BY organelle ORDER BY p) AS i, count(*) OVER (PARTITION BY organelle) AS m FROM t),
 a AS (SELECT *, least(1.0, min(p * m / i) OVER (PARTITION BY organelle ORDER BY i DESC)) AS p_adj FROM r)
 SELECT organelle, p, min(p_adj) AS p_adj, count(*) AS n FROM a GROUP BY 1, 2""", doubles="p p_adj")
 def w3(spark, sf):
-    t = T.objects(spark, sf).where("label = 1").select("organelle", F.round((F.col("extent") + F.col("eccentricity")) / 2, 3).alias("p"))
+    t = T.objects(spark, sf).select("organelle", F.round((F.col("extent") + F.col("eccentricity")) / 2, 3).alias("p"))
     return K.bh_adjust(t, ["organelle"], "p").groupBy("organelle", "p").agg(F.min("p_adj").alias("p_adj"), F.count(F.lit(1)).alias("n"))
 
 

@@ -194,11 +194,11 @@ def r13(spark, sf):
     return out.withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("a20_effect_summary", f"""WITH {LONG}, {_SETS}, {EFFECTS} SELECT substr(feature, 1, 1) AS organelle, max(abs(d)) AS max_abs_d, count(*) AS n_features, avg(d) AS mean_d,
- arg_max(feature, (abs(d), feature)) AS top_feature FROM effects WHERE set_id = 0 GROUP BY 1""", doubles="max_abs_d mean_d", digits=5)
+@query("a20_effect_summary", f"""WITH {LONG}, {_SETS}, {EFFECTS} SELECT set_id, substr(feature, 1, 1) AS organelle, max(abs(d)) AS max_abs_d, count(*) AS n_features, avg(d) AS mean_d,
+ arg_max(feature, (abs(d), feature)) AS top_feature FROM effects GROUP BY 1, 2""", doubles="max_abs_d mean_d", digits=5)
 def a20(spark, sf):
-    e = effects(spark, sf).where("set_id = 0").withColumn("organelle", F.substring("feature", 1, 1))
-    return S.effect_summary(e)
+    e = effects(spark, sf).withColumn("organelle", F.substring("feature", 1, 1))
+    return S.effect_summary(e, keys=["set_id"])
 
 
 @query("a24_base_metric_groups", f"""WITH {LONG}, {_SETS}, {EFFECTS}, f AS (SELECT feature || CASE set_id WHEN 0 THEN '_mean' WHEN 1 THEN '_mean_std' WHEN 2 THEN '_max' WHEN 3 THEN '_median' ELSE '_min' END AS feature, d FROM effects),

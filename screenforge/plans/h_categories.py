@@ -198,12 +198,13 @@ def q19(spark, sf):
     return K.filtered_matrix(s, "HOUSEHOLD", 0.5)
 
 
-@query("q20_category_strip", f"""WITH {SCORES}, {T.GENES}, s AS (SELECT gene, reporter, mean_average_precision AS score FROM sc WHERE reporter IN ('FURNITURE', 'BUILDING') AND gene IN (SELECT gene FROM genes WHERE set_id = 1)),
+@query("q20_category_strip", f"""WITH {SCORES}, {T.GENES}, s AS (SELECT gene, reporter, mean_average_precision AS score FROM sc WHERE gene IN (SELECT gene FROM genes WHERE set_id = 1)),
 r AS (SELECT *, avg(score) OVER (PARTITION BY reporter) AS reporter_mean, row_number() OVER (PARTITION BY reporter ORDER BY score DESC, gene) AS hi, row_number() OVER (PARTITION BY reporter ORDER BY score, gene) AS lo FROM s)
 SELECT gene, reporter, score, reporter_mean, CASE WHEN hi <= 2 THEN 'top' WHEN lo <= 2 THEN 'bottom' END AS label FROM r""", doubles="score reporter_mean")
 def q20(spark, sf):
-    m = scores(spark, sf).groupBy("gene").pivot("reporter", ["FURNITURE", "BUILDING"]).agg(F.first("mean_average_precision"))
-    return K.category_strip(m, ["FURNITURE", "BUILDING"], mapping(spark, sf), "set1", 2)
+    segments = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+    m = scores(spark, sf).groupBy("gene").pivot("reporter", segments).agg(F.first("mean_average_precision"))
+    return K.category_strip(m, segments, mapping(spark, sf), "set1", 2)
 
 
 @query("q21_category_assignment", f"""WITH {T.GENES}, p1 AS (SELECT gene, 'c' || set_id AS category, 1 AS pass FROM genes WHERE set_id = 0), tx AS (SELECT CAST(doc_id % 25 AS VARCHAR) AS gene, lang AS text FROM documents GROUP BY 1, 2),
