@@ -26,12 +26,15 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (shingles of five words, similarity 0.8): that of the smallest doc_id.
 
-    Rows that share a doc_id are one document; the one with the first text stays. Rows without
-    doc_id stay.
+    Rows that share a doc_id are one document; the one with the first text stays (null before
+    empty before others), of equal texts the one whose other columns have the smallest hash. Rows
+    without doc_id stay, all of them. An empty table gives no rows; other columns may have any name.
     """
     short_batches(spark)
     kept = oddsketch.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id")).where("__id IS NOT NULL").distinct()
-    stays = docs.join(kept, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
+    wanted = docs.join(kept, docs["doc_id"] == kept["__id"], "left_semi")
+    first = F.min_by(F.struct(*docs.columns), F.struct("text", F.xxhash64(*docs.columns)))
+    stays = wanted.groupBy(F.col("doc_id").alias("__id")).agg(first.alias("__row")).select("__row.*")
     return stays.unionByName(docs.where("doc_id IS NULL"))
 
 
