@@ -207,12 +207,12 @@ def q20(spark, sf):
     return K.category_strip(m, segments, mapping(spark, sf), "set1", 2)
 
 
-@query("q21_category_assignment", f"""WITH {T.GENES}, p1 AS (SELECT gene, 'c' || set_id AS category, 1 AS pass FROM genes WHERE set_id = 0), tx AS (SELECT CAST(doc_id % 25 AS VARCHAR) AS gene, lang AS text FROM documents GROUP BY 1, 2),
-p2 AS (SELECT gene, 'english' AS category, 2 AS pass FROM tx WHERE contains(lower(text), 'en')), p3 AS (SELECT gene, 'teens', 3 FROM genes WHERE regexp_matches(gene_name, '_1[0-9]$')), p4 AS (SELECT gene, 'late', 4 FROM genes WHERE set_id = 4),
+@query("q21_category_assignment", f"""WITH {T.GENES}, p1 AS (SELECT gene, 'c' || set_id AS category, 1 AS pass FROM genes WHERE set_id = 0), tx AS (SELECT CAST(doc_id % 25 AS VARCHAR) AS gene, text FROM documents),
+p2 AS (SELECT DISTINCT gene, 'english' AS category, 2 AS pass FROM tx WHERE contains(lower(text), 'en')), p3 AS (SELECT gene, 'teens', 3 FROM genes WHERE regexp_matches(gene_name, '_1[0-9]$')), p4 AS (SELECT gene, 'late', 4 FROM genes WHERE set_id = 4),
 u AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3 UNION ALL SELECT * FROM p4) SELECT gene, category, pass FROM u QUALIFY row_number() OVER (PARTITION BY gene ORDER BY pass, category) = 1""")
 def q21(spark, sf):
     g = T.genes(spark, sf)
-    text = T.read(spark, sf, "documents").select((F.col("doc_id") % 25).cast("string").alias("gene"), F.col("lang").alias("text")).distinct()
+    text = T.read(spark, sf, "documents").select((F.col("doc_id") % 25).cast("string").alias("gene"), "text")
     return K.assign_categories(g, g.where("set_id = 0").select("gene", F.concat(F.lit("c"), "set_id").alias("category")), text, {"english": ["en"]}, {"teens": ["_1[0-9]$"]}, g.where("set_id = 4").select("gene", F.lit("late").alias("category")))
 
 
