@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from screenforge.operators import pairs as PR
 from screenforge.operators.communities import modularity_communities
+from screenforge.operators.density import density_hierarchy
 from screenforge.operators.graph import connected_components
 from screenforge.operators.longform import array_to_long
 from screenforge.operators.records import hash_order
@@ -183,6 +184,9 @@ def density_clusters(profiles: DataFrame, eps: float, min_samples: int = 5, min_
     return pts.select("id").join(labelled.join(kept, "cluster", "left_semi"), "id", "left").select("id", "cluster")
 
 
+clusterer("density_hierarchy")(density_hierarchy)
+
+
 def knn_graph(profiles: DataFrame, k: int) -> DataFrame:
     """Undirected weighted edges (src < dst, weight = 1 / (distance + 1e-10)) of the k nearest neighbours."""
     nn = PR.nearest(profiles, profiles, k)

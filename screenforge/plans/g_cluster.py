@@ -77,6 +77,11 @@ def m8(spark, sf):
     return C.density_clusters(prof(spark, sf), 0.9, 5, 25)
 
 
+@query("m8_density_hierarchy")
+def m8h(spark, sf):
+    return C.density_hierarchy(prof(spark, sf))
+
+
 @query("m9_communities")
 def m9(spark, sf):
     e = stored(C.knn_graph(prof(spark, sf), 10))
