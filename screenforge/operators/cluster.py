@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.ml.clustering import BisectingKMeans, KMeans
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -20,6 +20,7 @@ from screenforge.operators.graph import connected_components
 from screenforge.operators.longform import array_to_long
 from screenforge.operators.records import hash_order
 from screenforge.operators.skew import average_rank, first_row
+from screenforge.operators.ward import ward_subclusters
 from screenforge.operators.windows import components_to_reach, min_max_composite
 from screenforge.session import checkpointed, stored
 
@@ -132,19 +133,6 @@ def kmeans_by_silhouette(profiles: DataFrame, ks: Sequence[int], seed: int = 42)
     return labels, profiles.sparkSession.createDataFrame(tried, "k int, silhouette double")
 
 
-def subclusters(labelled: DataFrame, clusters: Sequence, k: int = 2, min_size: int = 4, seed: int = 42) -> DataFrame:
-    """Bisecting k-means inside each given cluster; small clusters keep sub-label 0."""
-    out = None
-    for c in clusters:
-        part = _vectors(labelled.where(F.col("cluster") == c))
-        if part.count() >= max(min_size, k):
-            one = BisectingKMeans(k=k, seed=seed, featuresCol="__v", predictionCol="subcluster").fit(part).transform(part).drop("__v")
-        else:
-            one = part.drop("__v").withColumn("subcluster", F.lit(0))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 # pluggable clusterers: name -> function of (profiles, options) giving a cluster column
 CLUSTERERS: dict[str, Callable[..., DataFrame]] = {}
 
@@ -162,6 +150,17 @@ def _kmeans(profiles: DataFrame, **options) -> DataFrame:
     return kmeans_elbow(profiles, **options)[0]
 
 
+@clusterer("silhouette")
+def _silhouette(profiles: DataFrame, **options) -> DataFrame:
+    return kmeans_by_silhouette(profiles, **options)[0]
+
+
+@clusterer("ward")
+def _ward(profiles: DataFrame, share: float = 0.5) -> DataFrame:
+    found = ward_subclusters(profiles.select("id", "features", F.lit(0).alias("cluster")), share)
+    return found.select("id", F.col("subcluster").alias("cluster"))
+
+
 # --- density and communities ------------------------------------------------------------------
 @clusterer("density")
 def density_clusters(profiles: DataFrame, eps: float, min_samples: int = 5, min_size: int = 25, block_rows: int = PR.BLOCK_ROWS) -> DataFrame:

@@ -97,9 +97,8 @@ def m10(spark, sf):
 
 @query("m11_subclusters")
 def m11(spark, sf):
-    p = prof(spark, sf).withColumn("cluster", F.col("perturbation").cast("int"))
-    clusters = sorted(r[0] for r in p.select("cluster").where("cluster IS NOT NULL").distinct().collect())
-    return C.subclusters(p, clusters).groupBy("cluster", "subcluster").agg(F.count(F.lit(1)).alias("n"))
+    found = C.ward_subclusters(prof(spark, sf).withColumn("cluster", F.col("perturbation").cast("int")))
+    return found.where("cluster IS NOT NULL").groupBy("cluster", "subcluster").agg(F.count(F.lit(1)).alias("n"))
 
 
 SIL = f"""{PD}, g AS (SELECT id, ga, gb, avg(dist) AS m FROM d GROUP BY 1, 2, 3), s AS (SELECT id, ga, max(m) FILTER (ga = gb) AS a, min(m) FILTER (ga <> gb) AS b FROM g GROUP BY 1, 2)"""
