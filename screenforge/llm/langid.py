@@ -18,22 +18,24 @@ from pyspark.sql import functions as F
 
 from screenforge.llm.text import slices
 
-#: Longest piece and longest word scored at once (longer words are cut into such spans).
-MAX_PIECE, MAX_WORD = 6, 24
+#: Positions after which the forward sums of a word are rescaled, so that words of any length fit a double.
+RESCALE = 16
+#: Cells (positions times piece lengths) of the words scored together.
+CELLS = 1 << 18
 #: Labelled documents per language that the model is fitted on (expected number; chosen by hash).
 FIT_DOCS = 600
 #: Words whose scores a worker remembers.
 CACHE_WORDS = 150_000
 
 
-def public_pieces(tokenizer_json: str, max_piece: int = MAX_PIECE) -> dict[str, int]:
-    """Letter pieces of a byte-level vocabulary, lower-cased, numbered from 1; 0 stands for an unknown character."""
+def public_pieces(tokenizer_json: str) -> dict[str, int]:
+    """All letter pieces of a byte-level vocabulary, lower-cased, numbered from 1; 0 stands for an unknown character."""
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_str(tokenizer_json)
     vocab = sorted(json.loads(tokenizer_json)["model"]["vocab"].values())
     texts = {t.decode([i], skip_special_tokens=False).strip().lower() for i in vocab}
-    return {p: i for i, p in enumerate(sorted(p for p in texts if p.isalpha() and len(p) <= max_piece), 1)}
+    return {p: i for i, p in enumerate(sorted(p for p in texts if p.isalpha()), 1)}
 
 
 def letter_words(text: str | None) -> list[str]:
@@ -50,43 +52,76 @@ def letter_words(text: str | None) -> list[str]:
     return out
 
 
-def _spans(word: str) -> list[str]:
-    return [word[i : i + MAX_WORD] for i in range(0, len(word), MAX_WORD)]
+def piece_sizes(pieces: dict[str, int]) -> list[int]:
+    """Lengths that pieces have, and 1, the length of an unknown character."""
+    return sorted({1, *map(len, pieces)})
 
 
-def lattice(found: list[str], pieces: dict[str, int]) -> np.ndarray:
-    """[word, start, length - 1]: piece number, 0 for an unknown single character, -1 where no piece fits."""
+def lattice(found: list[str], pieces: dict[str, int], sizes: list[int]) -> np.ndarray:
+    """[word, start, size index]: piece number, 0 for an unknown single character, -1 where no piece fits."""
     width = max(map(len, found))
-    out = np.full((len(found), width, MAX_PIECE), -1, np.int32)
+    out = np.full((len(found), width, sum(k <= width for k in sizes)), -1, np.int32)
     get = pieces.get
     for i, w in enumerate(found):
         n = len(w)
-        row = [[get(w[s:e], 0 if e == s + 1 else -1) for e in range(s + 1, min(s + MAX_PIECE, n) + 1)] for s in range(n)]
-        for s, ids in enumerate(row):
-            out[i, s, : len(ids)] = ids
+        for s in range(n):
+            out[i, s, 0] = get(w[s], 0)
+        for at, k in enumerate(sizes[1:], 1):
+            if k > n:
+                break
+            out[i, : n - k + 1, at] = [get(w[s : s + k], -1) for s in range(n - k + 1)]
     return out
 
 
-def forward(grid: np.ndarray, lengths: np.ndarray, prob: np.ndarray) -> np.ndarray:
-    """alpha[word, position, language], scaled by prob's own floor; prob's last row (index -1) is zero."""
-    n, width, longest = grid.shape
+def forward(grid: np.ndarray, lengths: np.ndarray, prob: np.ndarray, sizes: list[int], each: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """alpha[word, position, language] and the log of each word's sum; prob's last row (index -1) is zero.
+
+    Sums are rescaled every ``RESCALE`` positions, which leaves the log sums exact. ``each`` [word,
+    language] is a factor per character instead; then alpha keeps one scale at all positions.
+    """
+    n, width, count = grid.shape
     alpha = np.zeros((n, width + 1, prob.shape[1]))
     alpha[:, 0] = 1.0
+    logs, out = np.zeros((n, prob.shape[1])), np.zeros((n, prob.shape[1]))
+    last = sizes[count - 1]
     for end in range(1, width + 1):
-        for size in range(1, min(longest, end) + 1):
-            alpha[:, end] += alpha[:, end - size] * prob[grid[:, end - size, size - 1]]
-    return alpha
+        for at in range(count):
+            k = sizes[at]
+            if k > end:
+                break
+            term = alpha[:, end - k] * prob[grid[:, end - k, at]]
+            alpha[:, end] += term if each is None else term * each**k
+        done = lengths == end
+        if done.any():
+            out[done] = np.log(alpha[done, end]) + logs[done]
+        if each is None and end % RESCALE == 0 and end < width:
+            live = lengths > end
+            by = np.where(live[:, None], alpha[:, end], 1.0)
+            alpha[:, max(0, end - last + 1) : end + 1] /= by[:, None]
+            logs += np.log(by)
+    return alpha, out
+
+
+def parts_by_length(found: list[str], sizes: list[int], most: int = 1024) -> Iterator[np.ndarray]:
+    """Indices of words of similar length, in parts of at most ``most`` words and about ``CELLS`` cells."""
+    order = sorted(range(len(found)), key=lambda i: len(found[i]))
+    part: list[int] = []
+    for i in order:
+        n = len(found[i])
+        if part and (len(part) >= most or (len(part) + 1) * n * sum(k <= n for k in sizes) > CELLS):
+            yield np.array(part)
+            part = []
+        part.append(i)
+    if part:
+        yield np.array(part)
 
 
 def log_scores(found: list[str], pieces: dict[str, int], prob: np.ndarray) -> np.ndarray:
-    """[word, language] log probabilities; words are grouped by length so that short ones stay cheap."""
-    lengths = np.fromiter(map(len, found), np.int64, len(found))
+    """[word, language] log probabilities of whole words over all their segmentations."""
+    lengths, sizes = np.fromiter(map(len, found), np.int64, len(found)), piece_sizes(pieces)
     out = np.empty((len(found), prob.shape[1]))
-    order = np.argsort(lengths, kind="stable")
-    for part in np.array_split(order, max(1, len(order) // 1024)):
-        if len(part):
-            alpha = forward(lattice([found[i] for i in part], pieces), lengths[part], prob)
-            out[part] = np.log(alpha[np.arange(len(part)), lengths[part]])
+    for part in parts_by_length(found, sizes):
+        out[part] = forward(lattice([found[i] for i in part], pieces, sizes), lengths[part], prob, sizes)[1]
     return out
 
 
@@ -95,31 +130,39 @@ def fit_pieces(counts: list[tuple[str, str, int]], langs: list[str], pieces: dic
     column = {lang: i for i, lang in enumerate(langs)}
     spans: dict[str, np.ndarray] = {}
     for lang, word, n in counts:
-        for s in _spans(word):
-            spans.setdefault(s, np.zeros(len(langs)))[column[lang]] += n
+        spans.setdefault(word, np.zeros(len(langs)))[column[lang]] += n
     size = len(pieces) + 1
     prob = np.full((size + 1, len(langs)), 1.0 / size)
     prob[-1] = 0.0
-    found = sorted(spans, key=len)
+    found, sizes = sorted(spans), piece_sizes(pieces)
+    parts = [[found[i] for i in part] for part in parts_by_length(found, sizes, 4096)]
     for _ in range(rounds):
         expected = np.full((size + 1, len(langs)), smooth)
-        for at in range(0, len(found), 4096):
-            part = found[at : at + 4096]
+        for part in parts:
             lengths = np.fromiter(map(len, part), np.int64, len(part))
-            grid, weight = lattice(part, pieces), np.array([spans[s] for s in part])
-            alpha = forward(grid, lengths, prob)
-            n, width, longest = grid.shape
+            grid, weight = lattice(part, pieces, sizes), np.array([spans[s] for s in part])
+            n, width, count = grid.shape
+            each = np.ones((n, len(langs)))
+            if width > RESCALE:  # a factor per character that brings each word's sum to 1
+                each = np.exp(-forward(grid, lengths, prob, sizes)[1] / lengths[:, None])
+            alpha = forward(grid, lengths, prob, sizes, each)[0]
             beta = np.zeros_like(alpha)
             beta[np.arange(n), lengths] = 1.0
             for start in range(width - 1, -1, -1):
-                for k in range(1, min(longest, width - start) + 1):
-                    beta[:, start] += prob[grid[:, start, k - 1]] * beta[:, start + k]
+                for at, k in enumerate(sizes[:count]):
+                    if k > width - start:
+                        break
+                    beta[:, start] += prob[grid[:, start, at]] * each**k * beta[:, start + k]
             scale = weight / np.maximum(alpha[np.arange(n), lengths], 1e-300)
             for start in range(width):
-                for k in range(1, min(longest, width - start) + 1):
-                    ids = grid[:, start, k - 1]
+                for at, k in enumerate(sizes[:count]):
+                    if k > width - start:
+                        break
+                    ids = grid[:, start, at]
                     ok = ids >= 0
-                    share = alpha[ok, start] * prob[ids[ok]] * beta[ok, start + k] * scale[ok]
+                    if not ok.any():
+                        continue
+                    share = alpha[ok, start] * prob[ids[ok]] * each[ok] ** k * beta[ok, start + k] * scale[ok]
                     for c in range(len(langs)):
                         expected[:, c] += np.bincount(ids[ok], share[:, c], size + 1)
         expected[-1] = 0.0
@@ -186,10 +229,7 @@ def predict(docs: DataFrame, langs: list[str], prob: np.ndarray, pieces: dict[st
                     scores = np.concatenate([scores[: len(known)], np.zeros((2 * len(new), len(langs)))])
                     _CACHE[token] = known, scores
                 names = list(new)
-                cut = [(i, s) for i, w in enumerate(names) for s in _spans(w)]
-                sums = np.zeros((len(names), len(langs)))
-                np.add.at(sums, [i for i, _ in cut], log_scores([s for _, s in cut], pieces, prob))
-                scores[len(known) : len(known) + len(names)] = sums
+                scores[len(known) : len(known) + len(names)] = log_scores(names, pieces, prob)
                 known.update(zip(names, range(len(known), len(known) + len(names)), strict=True))
             best, share = [], []
             for bag in bags:
