@@ -18,6 +18,8 @@ from screenforge.session import checkpointed
 
 #: Hashed word buckets of the classifier and labelled documents it learns from (expected, by hash).
 BUCKETS, FIT_DOCS = 1 << 15, 20_000
+#: Steps without progress after which the targets count as out of reach.
+PATIENCE = 50
 
 
 def _tokens(docs: DataFrame, *carried: str) -> DataFrame:
@@ -65,9 +67,14 @@ def domain_posteriors(docs: DataFrame, labelled: DataFrame, fit_docs: int = FIT_
     return sums.select("doc_id", "n_tokens", *[(F.col(f"__e{i}") / whole).alias(f"p_{i}") for i in range(len(names))]), names
 
 
-def fit_rates(members: DataFrame, names: list[str], targets: dict[str, float], total: float | str | None = None, rounds: int = 60, close: float = 1e-4) -> DataFrame:
+def fit_rates(members: DataFrame, names: list[str], targets: dict[str, float], total: float | str | None = None, rounds: int | None = None, close: float = 1e-4) -> DataFrame:
     """``members`` (n_tokens, p_0 ..) with ``rate`` >= 0 so that sum(n_tokens * rate * p_k) meets target_k * total.
 
+    ``residual`` is the largest excess or lack of a domain at these rates, as a share of the total
+    wanted (null where nothing can be fitted). Steps go on until it is at most ``close``. Without
+    ``rounds`` they also end when it has not fallen by a hundredth in ``PATIENCE`` steps (targets
+    that no rates meet), with it after so many steps.
+
     ``targets`` are weights over domain names, scaled to sum 1; a domain not named has target 0.
     ``total`` is the wanted number of tokens: the present one if None, or, if it names a domain,
     the total at which that domain is used once. All rates start at 1; a step is
@@ -81,7 +88,7 @@ def fit_rates(members: DataFrame, names: list[str], targets: dict[str, float], t
     have = [float(x or 0.0) for x in state.agg(*sums).first()] if names else []
     weights = [max(0.0, float(targets.get(d, 0.0))) for d in names]
     if not any(h > 0 for h in have):
-        return state
+        return state.withColumn("residual", F.lit(None).cast("double"))
     if not sum(weights):
         raise ValueError(f"no target for any of the domains {names}")
     share = [w / sum(weights) for w in weights]
@@ -89,22 +96,26 @@ def fit_rates(members: DataFrame, names: list[str], targets: dict[str, float], t
         k = names.index(total)
         total = have[k] / share[k]
     goal = [s * (sum(have) if total is None else total) for s in share]
-    now, nested = have, 0
-    for _ in range(rounds):
-        gap = [(a - g) / h if h > 0 else 0.0 for a, g, h in zip(now, goal, have, strict=True)]
-        if max(abs(a - g) for a, g, h in zip(now, goal, have, strict=True) if h > 0) <= close * sum(goal):
+    excess = lambda now: max(abs(a - g) for a, g, h in zip(now, goal, have, strict=True) if h > 0) / sum(goal)
+    now, steps, best, since = have, 0, math.inf, 0
+    while True:
+        residual = excess(now)
+        since = 0 if residual < 0.99 * best else since + 1
+        best = min(best, residual)
+        if residual <= close or (since >= PATIENCE if rounds is None else steps >= rounds):
             break
+        gap = [(a - g) / h if h > 0 else 0.0 for a, g, h in zip(now, goal, have, strict=True)]
         move = sum((F.col(f"p_{i}") * gap[i] for i in range(1, len(names))), F.col("p_0") * gap[0])
         state = state.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") - move))
-        nested += 1
-        if nested % 8 == 0:
+        steps += 1
+        if steps % 8 == 0:
             state = checkpointed(state)
         now = [float(x or 0.0) for x in state.agg(*sums).first()]
-    return state
+    return state.withColumn("residual", F.lit(residual))
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], total: float | str | None = None) -> tuple[DataFrame, list[str]]:
-    """(doc_id, n_tokens, p_k .., rate) per document and the domain names."""
+    """(doc_id, n_tokens, p_k .., rate, residual) per document and the domain names."""
     members, names = domain_posteriors(docs, labelled)
     return fit_rates(members, names, targets, total), names
 

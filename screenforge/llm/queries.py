@@ -66,7 +66,7 @@ def op2_language(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op3_mixing(spark: SparkSession, sf: str) -> DataFrame:
     found, names = mixing.mixed(table(spark, sf, "documents"), domains(table(spark, sf, "labels")), TARGETS)
-    return found.select("doc_id", "n_tokens", *[F.col(f"p_{i}").alias(f"p_{d}") for i, d in enumerate(names)], "rate")
+    return found.select("doc_id", "n_tokens", *[F.col(f"p_{i}").alias(f"p_{d}") for i, d in enumerate(names)], "rate", "residual")
 
 
 @query

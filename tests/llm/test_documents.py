@@ -86,6 +86,27 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(got, [0.2 * 0.4 * 0.4 + 0.3 * 0.4, 0.01 * 0.2, 0.4])
 
 
+def test_long_words_are_summed_whole(spark):
+    """Pieces of any length, and words far longer than a double's range allows unscaled."""
+    rng = np.random.default_rng(4)
+    pieces = {"a": 1, "b": 2, "ab": 3, "abababab": 4, "b" * 30: 5}
+    prob = np.vstack([rng.dirichlet(np.ones(6), 2).T, np.zeros(2)])
+    words_ = ["".join(rng.choice(list("abx"), n)) for n in (1, 5, 40, 41, 700)] + ["ab" * 1500, "b" * 90]
+
+    def plain(word, column):
+        logs = [0.0]
+        for end in range(1, len(word) + 1):
+            terms = [logs[end - k] + math.log(prob[pieces.get(word[end - k : end], 0), column]) for k in range(1, min(30, end) + 1) if k == 1 or word[end - k : end] in pieces]
+            logs.append(max(terms) + math.log(sum(math.exp(t - max(terms)) for t in terms)))
+        return logs[-1]
+
+    got = langid.log_scores(words_, pieces, prob)
+    assert np.allclose(got, [[plain(w, c) for c in range(2)] for w in words_], rtol=1e-9)
+    fitted = langid.fit_pieces([("x", w, 3) for w in words_] + [("y", "ba", 1)], ["x", "y"], pieces)
+    assert np.isfinite(fitted).all() and np.allclose(fitted.sum(0), 1)
+    assert len(langid.public_pieces(queries.tokenizer_json())) > 30_000
+
+
 def test_language_held_out_accuracy(spark):
     got = queries.QUERIES["op2_language"](spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in got if r["held_out"]]
@@ -131,6 +152,18 @@ def test_rates_beside_a_plain_solver(spark):
     assert min(r) == 0
 
 
+def test_mixing_total_by_a_domain_and_out_of_reach(spark, docs):
+    labels = queries.domains(spark.read.parquet(f"{SF}/labels.parquet"))
+    rows = mixing.mixed(docs, labels, queries.TARGETS, total="good")[0].collect()
+    got = np.array([x["n_tokens"] * x["rate"] for x in rows]) @ np.array([[x[f"p_{i}"] for i in range(3)] for x in rows])
+    good = sum(x["n_tokens"] * x["p_0"] for x in rows)
+    want = np.array([queries.TARGETS[d] for d in ("good", "poor", "toxic")])
+    want = want / want.sum()
+    assert np.allclose(got / (good / want[0]), want, atol=2e-4) and rows[0]["residual"] <= 1e-4
+    same = spark.createDataFrame([(i, 10, 0.5, 0.5) for i in range(20)], "doc_id long, n_tokens long, p_0 double, p_1 double")
+    assert {round(x["residual"], 6) for x in mixing.fit_rates(same, ["a", "b"], {"a": 0.9, "b": 0.1}).collect()} == {0.4}
+
+
 def test_mixing_edges(spark, edges, empty):
     labels = spark.createDataFrame([(4, "a"), (5, "b"), (6, None), (None, "a"), (8, "b"), (8, "a")], "doc_id long, domain string")
     found, names = mixing.mixed(edges, labels, {"a": 1, "b": 1})
