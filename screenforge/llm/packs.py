@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 
 
 def pack(columns: Sequence[np.ndarray]) -> bytes:
@@ -24,3 +25,20 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     while source.tell() < source.size():
         out.append(pa.ipc.open_stream(source).read_all().column(0).combine_chunks().to_numpy(zero_copy_only=False))
     return out
+
+
+def squeeze(rows: np.ndarray) -> bytes:
+    """A table of integers, a column each row of ``rows``, byte by byte; the first column as steps, so it is best in order."""
+    rows = np.array(rows, np.int64, order="C")
+    rows[0, 1:] -= rows[0, :-1].copy()
+    planes = rows.view(np.uint8).reshape(*rows.shape, 8).transpose(0, 2, 1)
+    return rows.shape[0].to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unsqueeze(blob: bytes) -> np.ndarray:
+    """The table of ``squeeze``."""
+    width = int.from_bytes(blob[:8], "little")
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[8:]), np.uint8)
+    rows = planes.reshape(width, 8, -1).transpose(0, 2, 1).copy(order="C").view(np.int64).reshape(width, -1)
+    rows[0] = np.cumsum(rows[0])
+    return rows

@@ -267,6 +267,37 @@ def test_passages_without_one_first_place(spark):
     assert covered[2] == set(range(3, 94)) and covered[4] == set(range(20 + 35 * 40))
 
 
+def test_passages_whose_seeds_are_all_common(spark):
+    """Halves that stand alone and joined, 75 times over: each joined text after the first repeats 60 words."""
+    rng = np.random.default_rng(17)
+    fresh = lambda n: ["".join(chr(97 + x) for x in rng.integers(0, 26, 6)) for _ in range(n)]
+    one, two = fresh(30), fresh(30)
+    rows = []
+    for _ in range(75):
+        rows += [[*fresh(5), *one, *fresh(5)], [*fresh(5), *two, *fresh(5)], [*fresh(5), *one, *two, *fresh(5)]]
+    got = chains.passages(frame(spark, [(i, " ".join(w), None) for i, w in enumerate(rows)])).collect()
+    assert {r["doc_id"] for r in got} == set(range(5, 225, 3))
+    assert all((r["start"], r["end"], r["ref_doc_id"], r["similarity"]) == (5, 65, 2, 1.0) for r in got)
+
+
+def test_exact_repeats_beside_brute_force(spark):
+    """Texts of one small stock of phrases: every 50 words that stand in an earlier document are covered."""
+    rng = np.random.default_rng(29)
+    stock = [["".join(chr(97 + x) for x in rng.integers(0, 26, 5)) for _ in range(rng.integers(6, 25))] for _ in range(12)]
+    rows = [sum((stock[x] for x in rng.integers(0, 12, rng.integers(3, 30))), []) for _ in range(150)]
+    covered, seen = {}, set()
+    for r in chains.passages(frame(spark, [(i, " ".join(w), None) for i, w in enumerate(rows)])).collect():
+        covered.setdefault(r["doc_id"], set()).update(range(r["start"], r["end"]))
+    exact = 0
+    for i, w in enumerate(rows):
+        grams = {tuple(w[j : j + 50]): None for j in range(len(w) - 49)}
+        want = {x for j in range(len(w) - 49) if tuple(w[j : j + 50]) in seen for x in range(j, j + 50)}
+        exact += len(want)
+        assert want <= covered.get(i, set()), i
+        seen.update(grams)
+    assert exact > 5000
+
+
 def best_local(a, b, sim=0.8):
     """(words of a, words of b, equal words) of the best local alignment, by the quadratic recursion."""
     best, prev = (0.0, 0, 0, 0), [(0.0, 0, 0, 0)] * (len(b) + 1)
