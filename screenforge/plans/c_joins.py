@@ -266,9 +266,9 @@ def s16(spark, sf):
     p = T.read(spark, sf, "pages").select(F.col("url").alias("path"))
     exp, root = F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1), F.regexp_extract("path", r"^(.*)/[^/]+/[^/]+$", 1)
     marked = p.where(exp != "").select(F.concat_ws("/", F.when(root.startswith("http:"), "r1").otherwise("r2"), exp, F.regexp_extract("path", r"/([^/]+)$", 1)).alias("path"), F.col("path").alias("url"))
-    out = IO.channel_files(marked.select("path").distinct(), ["r1", "r2"])
-    first = marked.groupBy("path").agg(F.min("url").alias("url"))
-    return out.join(first, "path").select(F.col("url").alias("path"), "experiment", "channel")
+    # one channel may have files of several endings: the first address of all of them is asked for
+    out = IO.channel_files(marked, ["r1", "r2"], by="url")
+    return out.select(F.col("url").alias("path"), "experiment", "channel")
 
 
 @query("s17_interactive_extract", f"""WITH {T.OBJECT_ROWS} SELECT cell_id, gene, well, avg(intensity_mean) AS intensity_mean, avg(area) AS area FROM object_rows GROUP BY 1, 2, 3""", doubles="intensity_mean area", digits=5)

@@ -88,17 +88,20 @@ def combine_by_signal(tables: Iterable[DataFrame], guide: str, signal: str, feat
     return wide.where(F.col("n_signals") == len(signals)) if join == "inner" else wide
 
 
-def channel_files(files: DataFrame, roots: Sequence[str], excluded: Sequence[str] = (), skip_prefixes: Sequence[str] = ("umap_", "CP1_", "CP2_", ".")) -> DataFrame:
-    """(experiment, channel, path) from listed paths ``<root>/<experiment>/<channel>.<ext>``; the first root wins."""
+def channel_files(files: DataFrame, roots: Sequence[str], excluded: Sequence[str] = (), skip_prefixes: Sequence[str] = ("umap_", "CP1_", "CP2_", "."), by: str = "path") -> DataFrame:
+    """(experiment, channel, path) from listed paths ``<root>/<experiment>/<channel>.<ext>``; the first root wins.
+
+    Of several files in that root the one with the smallest ``by`` is taken, a column that the result then has too.
+    """
     p = F.col("path")
     root = F.array_position(F.array(*[F.lit(r) for r in roots]), F.regexp_extract(p, r"^(.*)/[^/]+/[^/]+$", 1))
     t = files.select(
-        "path", root.alias("__root"), F.regexp_extract(p, r"/([^/]+)/[^/]+$", 1).alias("experiment"),
+        *dict.fromkeys(["path", by]), root.alias("__root"), F.regexp_extract(p, r"/([^/]+)/[^/]+$", 1).alias("experiment"),
         F.regexp_extract(p, r"/([^/]+?)(\.[^./]+)?$", 1).alias("channel"),
     ).where((F.col("__root") > 0) & ~F.col("channel").isin(list(excluded)))
     for s in skip_prefixes:
         t = t.where(~F.col("channel").startswith(s))
-    return first_row(t, ["experiment", "channel"], [F.col("__root"), F.col("path")]).drop("__root")
+    return first_row(t, ["experiment", "channel"], [F.col("__root"), F.col(by), F.col("path")]).drop("__root")
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
