@@ -40,6 +40,32 @@ def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return joined.select(*[F.col(f"__l.`{c}`") for c in left.columns], *more)
 
 
+def join_groups(
+    rows: DataFrame, stats: DataFrame, keys: Sequence[str], size: str, how: str = "inner", nulls: bool = False,
+) -> DataFrame:
+    """``rows`` with the columns of ``stats``, one row per group; ``size`` is the group's number of rows and is dropped.
+
+    Groups beyond the limit, of which there are at most rows / limit, go to every task, and their rows
+    are dealt evenly; only the others meet by key, so no task gets more than one of those and its share.
+    Keys come first. A null key matches nothing, or with ``nulls`` the null key.
+    """
+    limit = group_limit(rows.sparkSession)
+    values = [c for c in stats.columns if c not in (*keys, size)]
+    known = stats if nulls else stats.dropna(subset=list(keys))
+    packed = lambda part, name: part.select(*keys, F.struct(*values).alias(name))
+    hot = packed(known.where(F.col(size) > limit), "__hot")
+    away = F.col("__hot").isNotNull()
+    for k in [] if nulls else keys:
+        away = away | F.col(k).isNull()
+    deal = F.when(away, F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 20)) + 1).otherwise(0).alias("__deal")
+    dealt = join_keys(rows, F.broadcast(hot), keys, "left").select("*", deal)
+    cold = packed(known.where(F.col(size) <= limit), "__cold").withColumn("__deal", F.lit(0).cast("long"))
+    met = join_keys(dealt, cold, [*keys, "__deal"], "left").withColumn("__stats", F.coalesce("__hot", "__cold"))
+    if how == "inner":
+        met = met.where(F.col("__stats").isNotNull())
+    return met.select(*keys, *[c for c in rows.columns if c not in keys], *[F.col("__stats")[v].alias(v) for v in values])
+
+
 def _with_key(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
     return (df, list(keys)) if keys else (df.withColumn("__all", F.lit(0)), ["__all"])
 
@@ -57,7 +83,8 @@ def quantiles(
     if largest_group(df, ks, limit) <= limit:
         out = df.groupBy(*ks).agg(direct)
     else:
-        hot = sizes.where(F.col("__n") > limit)
+        # at most rows / limit groups: by a shuffle all rows of one would come to one task
+        hot = F.broadcast(sizes.where(F.col("__n") > limit))
         small = join_keys(df, hot, ks, "left_anti").groupBy(*ks).agg(direct)
         out = small.unionByName(_bracketed_quantiles(df, ks, value, probs, alias, hot))
     return out.drop("__all")
@@ -86,7 +113,7 @@ def _bracketed_quantiles(df, ks, value, probs, alias, hot) -> DataFrame:
             (F.lit(p) * (F.col("__n") - 1)).alias("pos"),
         ) for i, p in enumerate(probs)
     ])
-    near = join_keys(rows.drop("__n"), sketch.select(*ks, wanted.alias("__w")), ks)
+    near = join_keys(rows.drop("__n"), F.broadcast(sketch.select(*ks, wanted.alias("__w"))), ks)
     parts = near.select(*ks, F.col(value).alias("__v"), F.explode("__w").alias("w")).where(
         F.col("__v") <= F.col("w.hi")
     )
@@ -113,30 +140,39 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str, limit: int | Non
     Average rank is ``n_below + (n_equal + 1) / 2``, the number of rows at or below is
     ``n_below + n_equal``. Rows are combined per distinct value before any ordering.
     """
-    df, ks = _with_key(df.where(F.col(value).isNotNull()), keys)
     limit = group_limit(df.sparkSession) if limit is None else limit
+    present, ks = _with_key(df.where(F.col(value).isNotNull()), keys)
+    return _value_ranks(df, keys, value, limit, largest_group(present, ks, limit) > limit)
+
+
+def _value_ranks(df: DataFrame, keys: Sequence[str], value: str, limit: int, large: bool) -> DataFrame:
+    df, ks = _with_key(df.where(F.col(value).isNotNull()), keys)
     counts = df.groupBy(*ks, value).agg(F.count(F.lit(1)).alias("n_equal"))
-    if largest_group(df, ks, limit) <= limit:
+    if not large:
         run = Window.partitionBy(*ks).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
         out = counts.withColumn("n_below", F.coalesce(F.sum("n_equal").over(run), F.lit(0))).withColumn(
             "n_total", F.sum("n_equal").over(Window.partitionBy(*ks))
         )
     else:
-        out = _ranged_ranks(counts, ks, value)
+        out = _ranged_ranks(counts, ks, value, limit)
     return out.drop("__all")
 
 
-def value_ranges(df: DataFrame, keys: Sequence[str], value: str, ranges: int = RANGES) -> DataFrame:
-    """Adds ``__range``: the index of the sketch-balanced value range of each row in its group."""
+def value_ranges(df: DataFrame, keys: Sequence[str], value: str, ranges: int = RANGES, limit: int | None = None) -> DataFrame:
+    """Adds ``__range``: the index of the sketch-balanced value range of each row in its group; 0 in groups within the limit."""
+    limit = group_limit(df.sparkSession) if limit is None else limit
     cuts = [i / ranges for i in range(1, ranges)]
-    bounds = df.groupBy(*keys).agg(F.percentile_approx(value, cuts, SKETCH_ACCURACY).alias("__cuts"))
-    joined = join_keys(df, bounds, keys)
-    below = F.size(F.filter("__cuts", lambda c: c < F.col(value)))
+    bounds = df.groupBy(*keys).agg(F.percentile_approx(value, cuts, SKETCH_ACCURACY).alias("__cuts"), F.count(F.lit(1)).alias("__n"))
+    # at most rows / limit groups have ranges
+    joined = join_keys(df, F.broadcast(bounds.where(F.col("__n") > limit).drop("__n")), keys, "left")
+    # binary search for the number of cuts below the value
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range((ranges - 1).bit_length()))])
+    below = F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get("__cuts", at + step - 1) < F.col(value), step).otherwise(0))
     return joined.withColumn("__range", below).drop("__cuts")
 
 
-def _ranged_ranks(counts: DataFrame, ks: list[str], value: str) -> DataFrame:
-    ranged = value_ranges(counts, ks, value)
+def _ranged_ranks(counts: DataFrame, ks: list[str], value: str, limit: int) -> DataFrame:
+    ranged = value_ranges(counts, ks, value, limit=limit)
     per_range = ranged.groupBy(*ks, "__range").agg(F.sum("n_equal").alias("__c"))
     before = Window.partitionBy(*ks).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_range.select(
@@ -152,20 +188,31 @@ def _ranged_ranks(counts: DataFrame, ks: list[str], value: str) -> DataFrame:
 
 
 def average_rank(df: DataFrame, keys: Sequence[str], value: str, alias: str, limit: int | None = None) -> DataFrame:
-    """Rank with ties averaged; a null value has no rank and shifts none, a null key is a group.
+    """Rank with ties averaged; a null value has no rank and shifts none, a null key is a group."""
+    return average_ranks(df, keys, {value: alias}, limit)
+
 
-    Small groups rank in place; otherwise ranks join back by value.
+def average_ranks(df: DataFrame, keys: Sequence[str], values: dict[str, str], limit: int | None = None) -> DataFrame:
+    """``average_rank`` of several columns, given as {value: alias}.
+
+    Small groups rank in place; otherwise ranks join back by value, all of them counted on ``df`` itself.
     """
     limit = group_limit(df.sparkSession) if limit is None else limit
     if largest_group(df, keys, limit) <= limit:
-        w = Window.partitionBy(*keys).orderBy(F.col(value).asc_nulls_last())
-        ties = Window.partitionBy(*keys, value)
-        rank = F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2
-        return df.withColumn(alias, F.when(F.col(value).isNotNull(), rank))
-    ranks = value_ranks(df, keys, value, limit).select(
-        *keys, value, (F.col("n_below") + (F.col("n_equal") + 1) / 2).alias(alias)
-    )
-    return join_keys(df, ranks, [*keys, value], "left")
+        out = df
+        for value, alias in values.items():
+            w = Window.partitionBy(*keys).orderBy(F.col(value).asc_nulls_last())
+            ties = Window.partitionBy(*keys, value)
+            rank = F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2
+            out = out.withColumn(alias, F.when(F.col(value).isNotNull(), rank))
+        return out
+    out = df
+    for value, alias in values.items():
+        ranks = _value_ranks(df, keys, value, limit, True).select(
+            *keys, value, "n_equal", (F.col("n_below") + (F.col("n_equal") + 1) / 2).alias(alias)
+        )
+        out = join_groups(out, ranks, [*keys, value], "n_equal", "left", nulls=True).select(*out.columns, alias)
+    return out
 
 
 def bh_adjust(df: DataFrame, keys: Sequence[str], p: str, alias: str = "p_adj", limit: int | None = None) -> DataFrame:
@@ -185,7 +232,7 @@ def bh_adjust(df: DataFrame, keys: Sequence[str], p: str, alias: str = "p_adj",
     ranks = value_ranks(df, ks, "__p", limit).withColumn(
         "__raw", F.least(F.lit(1.0), F.col("__p") * F.col("n_total") / (F.col("n_below") + F.col("n_equal")))
     )
-    ranged = value_ranges(ranks, ks, "__p")
+    ranged = value_ranges(ranks, ks, "__p", limit=limit)
     above = Window.partitionBy(*ks).orderBy(F.col("__range").desc()).rowsBetween(Window.unboundedPreceding, -1)
     later = ranged.groupBy(*ks, "__range").agg(F.min("__raw").alias("__m")).select(
         *ks, "__range", F.min("__m").over(above).alias("__later")
