@@ -9,17 +9,18 @@ from pyspark.sql import functions as F
 
 from screenforge.functions.scalars import log2_ratio, neg_log10
 from screenforge.functions.special import t_two_sided
-from screenforge.operators.skew import average_rank, bh_adjust, top_n
+from screenforge.operators.skew import average_ranks, bh_adjust, join_groups, top_n
+from screenforge.session import stored
 
 
 # --- normalisation ----------------------------------------------------------------------------
 def normalise(long: DataFrame, control: Column | None = None, keys: Sequence[str] = ("feature",), population: bool = False) -> DataFrame:
     """z = (value - mean) / std per feature, statistics from controls, or all rows without ``control``."""
-    rows = long if control is None else long.where(control)
-    sd = F.stddev_pop("value") if population else F.stddev_samp("value")
-    stats = rows.groupBy(*keys).agg(F.avg("value").alias("__mu"), sd.alias("__sd"))
+    v = F.col("value") if control is None else F.when(control, F.col("value"))
+    sd = F.stddev_pop(v) if population else F.stddev_samp(v)
+    stats = long.groupBy(*keys).agg(F.avg(v).alias("__mu"), sd.alias("__sd"), F.count(F.lit(1)).alias("__n"))
     z = F.try_divide(F.col("value") - F.col("__mu"), F.col("__sd"))
-    return long.join(stats, list(keys), "left").withColumn("z", z).drop("__mu", "__sd")
+    return join_groups(long, stats, keys, "__n", "left").withColumn("z", z).drop("__mu", "__sd")
 
 
 def standard_scale(long: DataFrame, keys: Sequence[str] = ("feature",)) -> DataFrame:

@@ -34,3 +34,12 @@ def spread(df, where):
 def test_quantiles_move_no_rows_by_hot_group(shuffled):
     plan = K.quantiles(rows(shuffled), ["feature"], "value", [0.25, 0.5], "q", 100)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_ranks_of_common_values(shuffled):
+    df = rows(shuffled).where("feature = 'hot'")
+    out = K.average_ranks(df, ["feature"], {"y": "ry", "value": "rv"})
+    assert out.columns == [*df.columns, "ry", "rv"]
+    assert spread(out, "y = 0") > 4
+    want = {0.0: (667 + 1) / 2, 1.0: 667 + (667 + 1) / 2, 2.0: 1334 + (666 + 1) / 2}
+    assert {(r["y"], r["ry"]) for r in out.collect()} == set(want.items())
