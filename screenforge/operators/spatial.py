@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from screenforge.operators.skew import join_keys
+from screenforge.operators.skew import join_groups, join_keys
 from screenforge.operators.stats import standard_scale
 from screenforge.operators.windows import normalise_to_first
 
@@ -21,11 +21,13 @@ def radial_position(cells: DataFrame, group: str, x: str, y: str, alias: str = "
     The centre is a combinable aggregate joined back, so a large well is never gathered.
     """
     ok = F.col(x).isNotNull() & F.col(y).isNotNull()
-    c = cells.where(ok).groupBy(group).agg(
-        ((F.min(x) + F.max(x)) / 2).alias("__cx"), ((F.min(y) + F.max(y)) / 2).alias("__cy"), F.count(F.lit(1)).alias("__n")
-    ).where(F.col("__n") >= min_cells)
+    px, py = F.when(ok, F.col(x)), F.when(ok, F.col(y))
+    c = cells.groupBy(group).agg(
+        ((F.min(px) + F.max(px)) / 2).alias("__cx"), ((F.min(py) + F.max(py)) / 2).alias("__cy"), F.count_if(ok).alias("__placed"),
+        F.count(F.lit(1)).alias("__n"),
+    ).where(F.col("__placed") >= min_cells).drop("__placed")
     dx, dy = F.col(x) - F.col("__cx"), F.col(y) - F.col("__cy")
-    return cells.join(c, group, "left").withColumn(alias, F.sqrt(dx * dx + dy * dy)).drop("__cx", "__cy", "__n")
+    return join_groups(cells, c, [group], "__n", "left").withColumn(alias, F.sqrt(dx * dx + dy * dy)).drop("__cx", "__cy")
 
 
 def drift_score(long: DataFrame, ids: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -36,10 +38,10 @@ def drift_score(long: DataFrame, ids: Sequence[str], keys: Sequence[str] = ()) -
 
 def radial_bins(df: DataFrame, keys: Sequence[str], r: str, bins: int) -> DataFrame:
     """Right-closed equal-width bins per key; the minimum falls into bin 0."""
-    ends = df.where(F.col(r).isNotNull()).groupBy(*keys).agg(F.min(r).alias("r_min"), F.max(r).alias("r_max"))
+    ends = df.where(F.col(r).isNotNull()).groupBy(*keys).agg(F.min(r).alias("r_min"), F.max(r).alias("r_max"), F.count(F.lit(1)).alias("__n"))
     width = (F.col("r_max") - F.col("r_min")) / bins
     index = F.coalesce(F.greatest(F.ceil(F.try_divide(F.col(r) - F.col("r_min"), width)) - 1, F.lit(0)), F.lit(0))
-    joined = df.where(F.col(r).isNotNull()).join(ends, list(keys)) if keys else df.where(F.col(r).isNotNull()).withColumn(
+    joined = join_groups(df.where(F.col(r).isNotNull()), ends, keys, "__n") if keys else df.where(F.col(r).isNotNull()).withColumn(
         "__e", ends.select(F.struct("r_min", "r_max")).scalar()).withColumns({"r_min": F.col("__e.r_min"), "r_max": F.col("__e.r_max")}).drop("__e")
     return joined.withColumn("bin", F.least(index, F.lit(bins - 1)).cast("int"))
 
@@ -166,15 +168,17 @@ def second_derivative_break(series: DataFrame, keys: Sequence[str], x: str, y: s
 def share_beyond(df: DataFrame, breaks: DataFrame, keys: Sequence[str], r: str) -> DataFrame:
     """Percent of cells beyond their key's break point."""
     beyond = F.col(r) > F.col("break_x")
-    return df.where(F.col(r).isNotNull()).join(breaks.select(*keys, "break_x"), list(keys)).groupBy(*keys).agg(
+    rows = df.where(F.col(r).isNotNull())
+    sized = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).join(breaks.select(*keys, "break_x"), list(keys))
+    return join_groups(rows, sized, keys, "__n").groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_cells"), F.count_if(beyond).alias("n_beyond"), (F.avg(beyond.cast("double")) * 100).alias("pct_beyond")
     )
 
 
 def well_grid(df: DataFrame, well: str, x: str, y: str, value: str, tiles: int = 30) -> DataFrame:
     """Mean value per tile of a tiles × tiles grid over each well, over the mean of the wells' centre tiles."""
-    ends = df.groupBy(well).agg((F.floor(F.max(x)) + 1).alias("__w"), (F.floor(F.max(y)) + 1).alias("__h"))
-    t = df.join(ends, well).withColumns({
+    ends = df.groupBy(well).agg((F.floor(F.max(x)) + 1).alias("__w"), (F.floor(F.max(y)) + 1).alias("__h"), F.count(F.lit(1)).alias("__n"))
+    t = join_groups(df, ends, [well], "__n").withColumns({
         "col": F.floor(F.col(x) / (F.col("__w") / tiles)), "row": F.floor(F.col(y) / (F.col("__h") / tiles)),
     })
     g = t.groupBy(well, "row", "col").agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))

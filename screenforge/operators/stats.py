@@ -182,12 +182,17 @@ def organelle_contribution(long: DataFrame, control: Column, gene: str = "gene",
 def set_effect_sizes(long: DataFrame, sets: DataFrame, gene: str = "gene", set_id: str = "set_id") -> DataFrame:
     """Cohen's d of every set against all other rows, for all sets in one pass.
 
-    Sets and totals are reduced to (n, sum, sum of squares) of values centred by the feature
-    mean; the rest of a set is total minus set, so no set needs a second scan.
+    Rows are reduced to (n, mean, variance) per gene; from these follow n, sum and sum of squares of
+    values centred by the feature mean. The rest of a set is total minus set, so no set needs a second
+    scan, and no row but those per gene is joined.
     """
-    mu = long.groupBy("feature").agg(F.avg("value").alias("mu"))
-    per_gene = long.join(mu, "feature").withColumn("v", F.col("value") - F.col("mu")).groupBy(gene, "feature").agg(
-        F.count("v").alias("n"), F.sum("v").alias("s1"), F.sum(F.col("v") * F.col("v")).alias("s2"), F.first("mu").alias("mu")
+    moments = long.where(F.col("feature").isNotNull()).groupBy(gene, "feature").agg(
+        F.count("value").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v")
+    )
+    mu = moments.groupBy("feature").agg(F.try_divide(F.sum(F.col("n") * F.col("m")), F.sum("n")).alias("mu"))
+    off = F.col("m") - F.col("mu")
+    per_gene = moments.join(mu, "feature").select(
+        gene, "feature", "n", (F.col("n") * off).alias("s1"), (F.col("n") * (F.col("v") + off * off)).alias("s2"), "mu"
     )
     total = per_gene.groupBy("feature").agg(F.sum("n").alias("tn"), F.sum("s1").alias("t1"), F.sum("s2").alias("t2"))
     inside = per_gene.join(sets.select(gene, set_id).distinct(), gene).groupBy(set_id, "feature").agg(

@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from screenforge.operators import skew as K
+from screenforge.operators import spatial as D
+from screenforge.operators import stats as R
 from screenforge.session import GROUP_LIMIT_KEY
 
 SETTINGS = {GROUP_LIMIT_KEY: "100", "spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
@@ -36,6 +38,38 @@ def test_quantiles_move_no_rows_by_hot_group(shuffled):
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
 
 
+def test_statistics_of_hot_groups(shuffled):
+    z = R.normalise(rows(shuffled))
+    assert spread(z, "feature = 'hot'") > 4 and spread(z, "feature IS NULL") > 4
+    got = {r["id"]: r["z"] for r in z.collect()}
+    assert len(got) == 2360 and all(got[i] is None for i in range(3000, 3300))
+    for name, ids in (("hot", range(2000)), ("g2", range(2002, 2060, 5))):
+        v = {r["id"]: r["value"] for r in rows(shuffled).where(F.col("feature") == name).collect()}
+        mu = sum(v.values()) / len(v)
+        sd = (sum((x - mu) ** 2 for x in v.values()) / (len(v) - 1)) ** 0.5
+        assert {i: got[i] for i in ids} == pytest.approx({i: (v[i] - mu) / sd for i in ids})
+
+
+def test_statistics_of_controls_only(shuffled):
+    z = R.normalise(rows(shuffled), F.col("id") < 50)
+    got = {r["id"]: r["z"] for r in z.collect()}
+    assert got[37] == pytest.approx(got[0]) and got[2000] is None and got[0] is not None
+
+
+def test_hot_wells(shuffled):
+    cells = rows(shuffled).withColumnRenamed("feature", "well")
+    radial = D.radial_position(cells, "well", "value", "y", min_cells=12)
+    assert spread(radial, "well = 'hot'") > 4
+    got = {r["id"]: r["radial"] for r in radial.collect()}
+    assert got[0] == pytest.approx((18.0**2 + 1) ** 0.5) and got[2000] is not None and got[3000] is None
+    few = D.radial_position(cells, "well", "value", "y", min_cells=13)
+    assert {r["radial"] for r in few.where("well = 'g1'").collect()} == {None}
+    grid = D.well_grid(cells, "well", "value", "y", "value", 4)
+    assert grid.agg(F.sum("n")).first()[0] == 2060
+    bins = D.radial_bins(radial, ["well"], "radial", 5)
+    assert spread(bins, "well = 'hot'") > 4 and bins.count() == 2060
+
+
 def test_ranks_of_common_values(shuffled):
     df = rows(shuffled).where("feature = 'hot'")
     out = K.average_ranks(df, ["feature"], {"y": "ry", "value": "rv"})
