@@ -271,8 +271,9 @@ def regress_out_two(long: DataFrame, x1: str, x2: str) -> DataFrame:
 
 def spearman_with_target(long: DataFrame, target: str, n: int = 20) -> DataFrame:
     """Spearman correlation of each feature with a target column, strongest first."""
-    rows = long.where(F.col("value").isNotNull() & F.col(target).isNotNull())
-    ranked = average_rank(average_rank(rows, ["feature"], "value", "rv"), ["feature"], target, "rt")
+    rows = long.where(F.col("value").isNotNull() & F.col(target).isNotNull()).select("feature", "value", target)
+    # read by the counts of both ranks and by both joins
+    ranked = average_ranks(stored(rows), ["feature"], {"value": "rv", target: "rt"})
     out = ranked.groupBy("feature").agg(F.corr("rv", "rt").alias("rho"), F.count(F.lit(1)).alias("n"))
     return out.orderBy(F.abs("rho").desc_nulls_last(), "feature").limit(n)
 

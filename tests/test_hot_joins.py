@@ -70,6 +70,29 @@ def test_hot_wells(shuffled):
     assert spread(bins, "well = 'hot'") > 4 and bins.count() == 2060
 
 
+def _joins(plan):
+    below = [plan.children().apply(i) for i in range(plan.children().size())]
+    return ([plan] if plan.nodeName() == "Join" else []) + [j for p in below for j in _joins(p)]
+
+
+def test_effect_sizes_join_no_single_rows(shuffled):
+    long = rows(shuffled).withColumn("gene", (F.col("id") % 6).cast("string"))
+    sets = shuffled.createDataFrame([("0", 1), ("1", 1), ("2", 2)], "gene string, set_id int")
+    out = R.set_effect_sizes(long, sets)
+    plan = out._jdf.queryExecution().optimizedPlan()
+    assert all("Aggregate" in j.children().apply(0).toString() for j in _joins(plan))
+    got = {(r["set_id"], r["feature"]): r for r in out.collect()}
+    assert {f for _, f in got} == {"hot", *(f"g{i}" for i in range(5))}
+    inside = [float(i % 37) for i in range(2000) if i % 6 < 2]
+    rest = [float(i % 37) for i in range(2000) if i % 6 >= 2]
+    mean = lambda v: sum(v) / len(v)
+    square = lambda v: sum((x - mean(v)) ** 2 for x in v)
+    sd = ((square(inside) + square(rest)) / 1998) ** 0.5
+    r = got[1, "hot"]
+    assert (r["n"], r["n_rest"]) == (len(inside), len(rest))
+    assert (r["mean"], r["mean_rest"], r["d"]) == pytest.approx((mean(inside), mean(rest), (mean(inside) - mean(rest)) / sd))
+
+
 def test_ranks_of_common_values(shuffled):
     df = rows(shuffled).where("feature = 'hot'")
     out = K.average_ranks(df, ["feature"], {"y": "ry", "value": "rv"})
