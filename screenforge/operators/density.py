@@ -6,7 +6,8 @@ a cluster from ``min_cluster_size`` points on, and the clusters that persist lon
 
 All edges have one total order (weight, smaller id, larger id), so the hierarchy is unique:
 
-1. Every tile of points gives its spanning tree; together they hold the spanning tree of all.
+1. The spanning tree of all: components take their lightest edge in rounds, most of them from the
+   neighbours that give the core distances; few points are compared with all others again.
 2. A point's *entry* is the edge that brings its component to ``min_cluster_size`` points. It is
    the last edge of a search from the point over its lightest edges, which stops at that many
    points, so it is found from bounded neighbourhoods that neighbours pass on.
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,28 +84,140 @@ def tile_trees(points: DataFrame, block_rows: int = PR.BLOCK_ROWS) -> DataFrame:
     return found.distinct()
 
 
-def _reached(start, edges: list[dict], size: int) -> list[tuple]:
-    """The edges by which a search over the lightest edges from ``start`` reaches ``size`` points, in order."""
+def _lightest(a: pa.Table, b: pa.Table) -> pa.Table:
+    """(id, other, w): the lightest edge of each row of ``a`` to a row of ``b`` of another component, ties by the other id."""
+    if not (a.num_rows and b.num_rows):
+        return pa.table({"id": a.column("id").slice(0, 0), "other": b.column("id").slice(0, 0), "w": pa.array([], pa.float64())})
+    x, y = PR.matrix(a), PR.matrix(b)
+    own, far = a.column("core").to_numpy(), b.column("core").to_numpy()
+    names = pa.chunked_array([*a.column("comp").chunks, *b.column("comp").chunks]).combine_chunks().dictionary_encode().indices.to_numpy()
+    d2 = np.maximum(np.maximum(PR.squared_distances(x, y), (own**2)[:, None]), far**2)
+    d2[names[: len(x), None] == names[len(x):]] = np.inf
+    c = y.mean(axis=0)
+    slack = 1e-12 * (((x - c) ** 2).sum(1) + ((y - c) ** 2).sum(1).max())
+    # all that rounding may make the lightest, then by exact distances
+    rows, cols = np.nonzero((d2 <= (d2.min(1) + slack)[:, None]) & (d2 < np.inf))
+    step = 1 << 18
+    exact = np.concatenate([np.zeros(0), *[np.sqrt(((y[cols[i:i + step]] - x[rows[i:i + step]]) ** 2).sum(1)) for i in range(0, len(rows), step)]])
+    w = np.maximum(np.maximum(exact, own[rows]), far[cols])
+    rank = np.empty(len(y), np.int64)
+    rank[pc.sort_indices(b.column("id")).to_numpy()] = np.arange(len(y))
+    order = np.lexsort((rank[cols], w, rows))
+    first = order[np.flatnonzero(np.diff(rows[order], prepend=-1))]
+    take = lambda t, at: t.column("id").take(pa.array(at, pa.int64()))
+    return pa.table({"id": take(a, rows[first]), "other": take(b, cols[first]), "w": pa.array(w[first])})
+
+
+def _first_edges(t: pa.Table) -> pa.Table:
+    t = t.sort_by([("id", "ascending"), ("w", "ascending"), ("other", "ascending")])
+    code = t.column("id").combine_chunks().dictionary_encode().indices.to_numpy()
+    return t.take(pa.array(np.flatnonzero(np.diff(code, prepend=-1))))
+
+
+def _roots(pointers: DataFrame) -> DataFrame:
+    """(comp, root) of (comp, to): where the pointers lead; of two that point at each other the smaller is the root."""
+    back = PR.own_columns(pointers).select(F.col("comp").alias("to"), F.col("to").alias("__back"))
+    now = stored(pointers.join(back, "to", "left").where("__back IS NULL OR __back <> comp OR to < comp").select("comp", "to"))
+    while True:
+        ahead = PR.own_columns(now).select(F.col("comp").alias("to"), F.col("to").alias("__next"))
+        after = stored(now.join(ahead, "to", "left").select("comp", F.coalesce("__next", "to").alias("to"), F.col("__next").isNotNull().alias("moved")))
+        discard(now)
+        now = after.select("comp", "to")
+        if after.where("moved").isEmpty():
+            return now.select("comp", F.col("to").alias("root"))
+
+
+def spanning_tree(points: DataFrame, near: DataFrame, block_rows: int = PR.BLOCK_ROWS) -> DataFrame:
+    """(src, dst, w), src < dst: the spanning tree of (id, features, core, beyond).
+
+    ``near`` (id, ref_id, distance) holds neighbours of each point, all others are at ``beyond`` or
+    farther. In a round every component but the largest takes its lightest edge to another one. The
+    edges to neighbours give one; only points with ``beyond`` at most its weight can have a lighter
+    one, and these are compared with all points in tiles.
+    """
+    n = points.count()
+    of = lambda end, table: PR.own_columns(table).select(F.col("id").alias(end), F.col("core").alias(f"__{end}"))
+    listed = near.select(F.least("id", "ref_id").alias("src"), F.greatest("id", "ref_id").alias("dst"), "distance").distinct()
+    listed = listed.join(of("src", points), "src").join(of("dst", points), "dst")
+    links = stored(listed.select("src", "dst", F.greatest("distance", "__src", "__dst").alias("w"), F.col("src").alias("a"), F.col("dst").alias("b")))
+    member, found = stored(points.select("id", F.col("id").alias("comp"))), []
+    while True:
+        sizes = member.groupBy("comp").agg(F.count(F.lit(1)).alias("n"))
+        top = sizes.orderBy(F.desc("n"), "comp").first()
+        if top is None or top["n"] == n:
+            break
+        edge = F.struct("w", "src", "dst").alias("e")
+        sides = links.select(F.col("a").alias("comp"), F.col("b").alias("to"), edge).unionByName(links.select(F.col("b").alias("comp"), F.col("a").alias("to"), edge))
+        known = stored(sides.where(F.col("comp") != F.lit(top["comp"])).groupBy("comp").agg(F.min(F.struct("e", "to")).alias("m")).select("comp", "m.e", "m.to"))
+        placed = stored(points.join(member, "id"))
+        asked = placed.where(F.col("comp") != F.lit(top["comp"])).join(known.select("comp", F.col("e.w").alias("least")), "comp", "left")
+        asked = stored(asked.where("least IS NULL OR beyond <= least").select("id", "features", "core", "comp"))
+        kind = points.schema["id"].dataType.simpleString()
+        seen = PR.tile_reduce(asked, placed.select("id", "features", "core", "comp"), _lightest, f"id {kind}, other {kind}, w double", _first_edges, block_rows, right_rows=n)
+        ends = seen.join(PR.own_columns(member), "id").join(PR.own_columns(member).select(F.col("id").alias("other"), F.col("comp").alias("to")), "other")
+        seen = ends.select("comp", F.struct("w", F.least("id", "other").alias("src"), F.greatest("id", "other").alias("dst")).alias("e"), "to")
+        picked = stored(known.unionByName(seen).groupBy("comp").agg(F.min(F.struct("e", "to")).alias("m")).select("comp", "m.e", "m.to"))
+        found.append(picked)
+        root = _roots(picked.select("comp", "to"))
+        new = lambda end: PR.own_columns(root).select(F.col("comp").alias(end), F.col("root").alias(f"__{end}"))
+        after = stored(member.join(new("comp"), "comp", "left").select("id", F.coalesce("__comp", "comp").alias("comp")))
+        named = lambda c: F.coalesce(f"__{c}", c)
+        rest = stored(links.join(new("a"), "a", "left").join(new("b"), "b", "left").where(named("a") != named("b")).select("src", "dst", "w", named("a").alias("a"), named("b").alias("b")))
+        discard(links, member, known, placed, asked)
+        member, links = after, rest
+    if not found:
+        return links.select("src", "dst", "w").limit(0)
+    tree = found[0].select("e.src", "e.dst", "e.w")
+    for more in found[1:]:
+        tree = tree.unionByName(more.select("e.src", "e.dst", "e.w"))
+    return tree.distinct()
+
+
+def _reached(start: int, edges: list[tuple], size: int) -> list[int]:
+    """Positions in ``edges`` (src, dst, lightest first) by which a search over the lightest from ``start`` reaches ``size`` points, in order."""
     near: dict = {}
-    for e in edges:
-        key = (e["w"], e["src"], e["dst"])
-        near.setdefault(e["src"], []).append(key)
-        near.setdefault(e["dst"], []).append(key)
+    for k, (x, y) in enumerate(edges):
+        near.setdefault(x, []).append(k)
+        near.setdefault(y, []).append(k)
     inside, heap, taken = {start}, list(near.get(start, [])), []
-    heapq.heapify(heap)
     while heap and len(inside) < size:
-        key = heapq.heappop(heap)
-        new = key[2] if key[1] in inside else key[1]
+        k = heapq.heappop(heap)
+        x, y = edges[k]
+        new = y if x in inside else x
         if new in inside:
             continue
         inside.add(new)
-        taken.append(key)
-        for other in near.get(new, []):
-            if other[1] not in inside or other[2] not in inside:
+        taken.append(k)
+        for other in near[new]:
+            if edges[other][0] not in inside or edges[other][1] not in inside:
                 heapq.heappush(heap, other)
     return taken
 
 
+def _trees(points: pa.Array, old: pa.Array, lists: pa.Array, size: int) -> tuple[pa.Array, pa.Array]:
+    """(tree, changed) of each point: the search over the edges of its list."""
+    flat = lists.flatten()
+    names = pa.concat_arrays([points, *[x.flatten().field(c) for x in (lists, old) for c in ("src", "dst")]]).dictionary_encode()
+    rank = np.empty(len(names.dictionary), np.int64)
+    rank[pc.sort_indices(names.dictionary).to_numpy()] = np.arange(len(rank))
+    code = rank[names.indices.to_numpy()]
+    n, m = len(points), len(flat)
+    start, src, dst, before = code[:n], code[n : n + m], code[n + m : n + 2 * m], code[n + 2 * m :].reshape(2, -1)
+    lengths = lambda x: pc.list_value_length(x).to_numpy(zero_copy_only=False).astype(np.int64)
+    owner = np.repeat(np.arange(n), lengths(lists))
+    order = np.lexsort((dst, src, flat.field("w").to_numpy(zero_copy_only=False), owner))
+    order = order[np.concatenate([[True], np.any(np.diff(np.stack([owner, src, dst])[:, order], axis=1) != 0, axis=0)])] if m else order
+    cuts = np.searchsorted(owner[order], np.arange(n + 1))
+    pairs = list(zip(src[order].tolist(), dst[order].tolist(), strict=True))
+    found = [[i + k for k in _reached(p, pairs[i:j], size)] for p, i, j in zip(start.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])])
+    at = order[np.array([k for x in found for k in x], np.int64)]
+    was = np.concatenate([[0], np.cumsum(lengths(old))])
+    now = np.stack([src[at], dst[at]])
+    changed = [not np.array_equal(now[:, offsets[i] : offsets[i + 1]], before[:, was[i] : was[i + 1]]) for i in range(n)]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat.take(pa.array(at))), pa.array(changed, pa.bool_())
+
+
 def entries(edges: DataFrame, size: int) -> DataFrame:
     """(id, entry struct<w, src, dst>): the edge at which each point's component has ``size`` points; null if none does.
 
@@ -120,21 +234,15 @@ def entries(edges: DataFrame, size: int) -> DataFrame:
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            trees, changed = [], []
-            for point, old, edges in zip(b.column("id").to_pylist(), b.column("old").to_pylist(), b.column("edges").to_pylist(), strict=True):
-                found = [{"w": w, "src": s, "dst": d} for w, s, d in _reached(point, edges, size)]
-                trees.append(found)
-                changed.append(found != old)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array(trees, b.schema.field("old").type), pa.array(changed, pa.bool_())], names=["id", "tree", "changed"]
-            )
+            tree, changed = _trees(b.column("id"), b.column("old"), b.column("edges"), size)
+            yield pa.RecordBatch.from_arrays([b.column("id"), tree.cast(b.schema.field("old").type), changed], names=["id", "tree", "changed"])
 
     now = own
     while True:
         reached = now.select("id", F.explode(F.array_distinct(F.flatten(F.transform("tree", lambda e: F.array(e["src"], e["dst"]))))).alias("other"))
         passed = PR.own_columns(now).select(F.col("id").alias("other"), "tree")
         offers = reached.join(passed, "other").select("id", "tree").unionByName(own.select("id", "tree"))
-        seen = offers.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("tree"))).alias("edges"))
+        seen = offers.groupBy("id").agg(F.flatten(F.collect_list("tree")).alias("edges"))
         after = stored(now.select("id", F.col("tree").alias("old")).join(seen, "id").select("id", "old", "edges").mapInArrow(search, schema))
         if now is not own:
             discard(now)
@@ -257,8 +365,12 @@ def density_hierarchy(profiles: DataFrame, min_cluster_size: int = 25, min_sampl
     usable = F.forall("features", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     points = profiles.where(F.col("id").isNotNull() & usable & (F.size("features") > 0)).select("id", F.col("features").cast("array<double>").alias("features"))
     points = stored(points)
-    reach = stored(points.join(core_distances(points, min_samples, block_rows), "id"))
-    edges = stored(tile_trees(reach, block_rows))
+    near = stored(PR.nearest(points, points, min_samples + 1, block_rows=block_rows))
+    core = F.coalesce(F.max(F.when(F.col("rank") <= min_samples, F.col("distance"))), F.lit(0.0)).alias("core")
+    # a row without a neighbour behind the core distance has all points in its list
+    beyond = F.coalesce(F.max(F.when(F.col("rank") > min_samples, F.col("distance"))), F.lit(float("inf"))).alias("beyond")
+    reach = stored(points.join(near.groupBy("id").agg(core, beyond), "id"))
+    edges = stored(spanning_tree(reach, near, block_rows))
     entry = stored(entries(edges, min_cluster_size).where("entry IS NOT NULL"))
     if entry.isEmpty():
         return ids.select("id", F.lit(None).cast(ids.schema["id"].dataType).alias("cluster"))
@@ -275,7 +387,7 @@ def density_hierarchy(profiles: DataFrame, min_cluster_size: int = 25, min_sampl
 
     # a point enters the highest cluster over its region that was formed before the point's entry
     jump = tree.select("node", F.col("parent").alias("to")).join(PR.own_columns(tree).select(F.col("node").alias("to"), F.col("e").alias("formed")), "to").select("node", "to", "formed")
-    jumps, used = [], [points, reach, edges]
+    jumps, used = [], [points, near, reach, edges]
     while True:
         jump = stored(jump)
         used.append(jump)

@@ -3,7 +3,8 @@
 import numpy as np
 import pytest
 
-from screenforge.operators import cluster
+from screenforge.operators import cluster, density
+from screenforge.operators import pairs as PR
 from screenforge.operators.density import LEAST, core_distances, density_hierarchy, entries, tile_trees
 
 
@@ -120,3 +121,15 @@ def test_small_null_and_broken_input(spark):
     got = {r["id"]: r["cluster"] for r in density_hierarchy(same, 5, 3).collect()}
     assert got == {**{f"{i:02d}": f"{i // 10}0" for i in range(30)}, "x": None}
     assert "density_hierarchy" in cluster.CLUSTERERS
+
+
+def test_few_points_are_compared_again(spark, monkeypatch):
+    """The tree comes from neighbours; tiles of all points against all are not worked off again."""
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(c, 0.4, (n, 3)) for c, n in ((0, 130), (5, 20), (9, 15))] + [np.full((12, 3), 7.0)])
+    asked, tiles = [], PR.tile_reduce
+    monkeypatch.setattr(density.PR, "tile_reduce", lambda left, *rest, **more: (asked.append(left.count()), tiles(left, *rest, **more))[1])
+    monkeypatch.setattr(density, "tile_trees", None)
+    got = {r["id"]: r["cluster"] for r in density_hierarchy(frame(spark, x), 10, 8, 50).collect()}
+    assert [got[i] for i in range(len(x))] == brute(x, 10, 8)
+    assert asked[0] == len(x) and max(asked[1:]) < len(x) / 2
