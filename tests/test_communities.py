@@ -1,6 +1,9 @@
 """Graph communities beside brute force."""
 
+from collections import deque
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from screenforge.operators import cluster, communities
@@ -64,3 +67,29 @@ def test_planted_groups_nulls_and_repeats(spark):
     assert got == {i: 10 * (i // 10) for g in range(4) for i in range(10 * g, 10 * g + 8)}
     assert cluster.communities(df.limit(0)).count() == 0
     assert "communities" in cluster.CLUSTERERS
+
+
+def test_a_block_looks_again_only_beside_moves(monkeypatch):
+    """400 nodes in 40 rings of neighbours: no move is left, after fewer looks than four sweeps."""
+    looks = []
+
+    class Queue(deque):
+        def popleft(self):
+            looks.append(1)
+            return super().popleft()
+
+    monkeypatch.setattr(communities, "deque", Queue)
+    n = 400
+    near = {i: [10 * (i // 10) + (i + d) % 10 for d in (1, 2, 8, 9)] for i in range(n)}
+    total = 2.0 * n
+    row = lambda i: {"id": i, "degree": 4.0, "community": i, "k": 4.0, "near": [{"other": j, "w": 1.0, "c": j, "k": 4.0} for j in near[i]]}
+    table = pa.Table.from_pylist([row(i) for i in reversed(range(n))])
+    out = communities._block_moves(table, 1 / (2 * total), total).to_pylist()
+    label = {i: i for i in range(n)} | {r["id"]: r["to"] for r in out}
+    edges = [(i, j, 1.0) for i in range(n) for j in near[i] if i < j]
+    value = quality(edges, label)
+    for i in range(n):
+        for to in {label[j] for j in near[i]} - {label[i]}:
+            assert quality(edges, label | {i: to}) <= value + 1e-9
+    assert value - quality(edges, {i: i for i in range(n)}) == pytest.approx(sum(r["gain"] for r in out))
+    assert n <= len(looks) < 4 * n
