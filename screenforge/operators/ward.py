@@ -8,15 +8,20 @@ clusters advance in the same jobs; a cluster whose groups fit in one block is fi
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from screenforge.operators import pairs as PR
 from screenforge.operators.graph import connected_components
 from screenforge.session import discard, stored
 
+#: Rows of a tile compared at once, pairs whose exact heights are taken at once, blocks of one side of a tile.
+PART_ROWS, STEP, TILE = 512, 1 << 18, 8
+
 
 def _heights(x: np.ndarray, n: np.ndarray, i: int) -> np.ndarray:
     """Height at which group i merges with each group: the Euclidean distance for single points."""
@@ -48,16 +53,37 @@ def _finished(t: pa.Table) -> pa.Table:
     })
 
 
+def _lowest(x: np.ndarray, n: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, column, height): the first column of least height of each row, itself left out; ``cols`` ascend.
+
+    A matrix product leaves the columns that rounding may make the lowest; their heights are exact.
+    """
+    y, m = x[cols], n[cols]
+    c = y.mean(axis=0)
+    far, most = ((y - c) ** 2).sum(1).max(), m.max()
+    for i in range(0, len(rows), PART_ROWS):
+        at = rows[i : i + PART_ROWS]
+        k = n[at, None]
+        h2 = PR.squared_distances(x[at], y) * (2.0 * k * m / (k + m))
+        h2[at[:, None] == cols] = np.inf
+        slack = 1e-12 * (((x[at] - c) ** 2).sum(1) + far) * (2.0 * n[at] * most / (n[at] + most))
+        r, q = np.nonzero((h2 <= (h2.min(1) + 2 * slack)[:, None]) & (h2 < np.inf))
+        u, v = at[r], cols[q]
+        exact = np.concatenate([np.zeros(0), *[np.sqrt(2.0 * n[w] * n[z] / (n[w] + n[z]) * ((x[w] - x[z]) ** 2).sum(1)) for w, z in ((v[j : j + STEP], u[j : j + STEP]) for j in range(0, len(u), STEP))]])
+        order = np.lexsort((v, exact, u))
+        first = order[np.flatnonzero(np.diff(u[order], prepend=-1))]
+        yield u[first], v[first], exact[first]
+
+
 def _nearest(t: pa.Table) -> pa.Table:
-    """The nearest other group of each group in a tile of one cluster."""
+    """The nearest other group of each group in a tile of one cluster; of two blocks, in the other block."""
     t = t.sort_by("id")
-    x, n = PR.matrix(t, "centroid"), t.column("n").to_numpy().astype(float)
-    other, height = np.zeros(len(x), np.int64), np.zeros(len(x))
-    for i in range(len(x)):
-        h = _heights(x, n, i)
-        h[i] = np.inf
-        other[i] = int(np.argmin(h))  # the smallest id of equal ones
-        height[i] = h[other[i]]
+    x, n, block = PR.matrix(t, "centroid"), t.column("n").to_numpy().astype(float), t.column("__b").to_numpy()
+    other, height = np.zeros(len(x), np.int64), np.full(len(x), np.inf)
+    sides = [np.flatnonzero(block == b) for b in np.unique(block)]
+    for rows, cols in zip(sides, sides[::-1], strict=True):
+        for u, v, h in _lowest(x, n, rows, cols):
+            other[u], height[u] = v, h
     keep = np.isfinite(height)
     at = np.arange(len(x))[keep]
     ids = t.column("id").combine_chunks()
@@ -68,14 +94,19 @@ def _nearest(t: pa.Table) -> pa.Table:
     })
 
 
+def _spread(rows: DataFrame, *keys: str) -> GroupedData:
+    """Groups in as many tasks as the session shuffles into: few bytes, much work, which AQE would merge."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).groupBy(*keys)
+
+
 def _round(groups: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
     """Mergers of mutual nearest groups in clusters of more than one block, and the groups after them."""
     kinds = {c: groups.schema[c].dataType.simpleString() for c in ("cluster", "id")}
-    blocks = F.ceil(F.col("size") / block_rows).cast("int")
+    blocks = F.ceil(F.col("size") / (TILE * block_rows)).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
     dealt = groups.withColumn("__b", own).withColumn("__o", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    tiles = dealt.select("cluster", "id", "n", "centroid", F.least("__b", "__o").alias("__l"), F.greatest("__b", "__o").alias("__r"))
-    near = tiles.groupBy("cluster", "__l", "__r").applyInArrow(
+    tiles = dealt.select("cluster", "id", "n", "centroid", "__b", F.least("__b", "__o").alias("__l"), F.greatest("__b", "__o").alias("__r"))
+    near = _spread(tiles, "cluster", "__l", "__r").applyInArrow(
         lambda t: _nearest(t), f"cluster {kinds['cluster']}, id {kinds['id']}, height double, lo {kinds['id']}, hi {kinds['id']}"
     )
     best = near.groupBy("cluster", "id").agg(F.min(F.struct("height", "lo", "hi")).alias("e")).select("cluster", "e.*")
@@ -102,7 +133,7 @@ def ward_mergers(points: DataFrame, block_rows: int = PR.BLOCK_ROWS) -> DataFram
     found = []
     while True:
         small = groups.where(F.col("size") <= block_rows)
-        found.append(stored(small.groupBy("cluster").applyInArrow(lambda t: _finished(t), shape)))
+        found.append(stored(_spread(small, "cluster").applyInArrow(lambda t: _finished(t), shape)))
         large = groups.where(F.col("size") > block_rows)
         if large.isEmpty():
             break

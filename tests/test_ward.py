@@ -1,9 +1,10 @@
 """Ward's tree and its cut beside merging one nearest pair at a time."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from screenforge.operators import cluster
+from screenforge.operators import cluster, ward
 from screenforge.operators.ward import ward_mergers, ward_subclusters
 
 
@@ -72,3 +73,16 @@ def test_named_clusterers(spark):
         assert groups and all(any(g <= w for w in want) for g in groups), name
         if name in ("silhouette", "ward", "density"):  # the others may part a group further
             assert set(groups) == want, name
+
+
+def test_nearest_groups_of_a_tile_beside_brute_force():
+    """Within one block, and from block to block, with equal and repeated points; work is by matrix product."""
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.normal(0, 1, (40, 3)), rng.integers(0, 3, (40, 3)).astype(float)])
+    n = rng.integers(1, 9, 80)
+    for blocks in (np.zeros(80, np.int32), rng.integers(0, 2, 80).astype(np.int32)):
+        t = pa.table({"cluster": pa.array([1] * 80), "id": pa.array(range(80)), "n": pa.array(n), "centroid": pa.array(x.tolist()), "__b": pa.array(blocks)})
+        got = {r["id"]: (r["height"], r["hi"] + r["lo"] - r["id"]) for r in ward._nearest(t).to_pylist()}
+        for i in range(80):
+            h = [(float(np.sqrt(2.0 * n[j] * n[i] / (n[j] + n[i]) * ((x[j] - x[i]) ** 2).sum())), j) for j in range(80) if j != i and (blocks.max() == 0 or blocks[j] != blocks[i])]
+            assert got[i][1] == min(h)[1] and got[i][0] == pytest.approx(min(h)[0])
