@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,3 +47,46 @@ def test_both_ways_agree(genes, monkeypatch):
     assert held == scores() and all(held)
     nothing = Q.activity(labelled.limit(0), F.col("perturbation") == "0")
     assert nothing.collect() == []
+
+
+@pytest.mark.parametrize("kept", [0, 1 << 27])
+def test_rows_of_an_id_meet_the_references_once(monkeypatch, kept):
+    monkeypatch.setattr(Q, "HELD_UNITS", kept)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(40, 4)).round(1).astype(np.float32)
+    ids = pa.table({"id": pa.array([i for i in range(40) for _ in "ab"] + [7]), "labels": pa.array([[s] for _ in range(40) for s in "ab"] + [["a"]])})
+    vectors = np.concatenate([np.repeat(x, 2, axis=0), -x[7:8]])  # an id may come with two vectors
+    member = {"a": set(range(0, 40, 2)) | {7}, "b": set(range(0, 40, 3)) | {7}}
+    refs = pa.table({"id": pa.array(range(40)), "labels": pa.array([[s for s in "ab" if i in member[s]] for i in range(40)], pa.list_(pa.string())), "negative": pa.array([True] * 40)})
+    met, keys_of = [], Q._keys_of
+    monkeypatch.setattr(Q, "_keys_of", lambda q, *rest: (met.append(len(q)), keys_of(q, *rest))[1])
+    got = Q._score_group(ids, vectors, refs, x, [None]).to_pylist()
+    assert sum(met) <= 42 and len(got) == 81  # the two vectors of one id may alternate
+    seen = 0
+    for r in got:
+        i, s = r["id"], r["label"]
+        want = [brute_ap(np.concatenate([x, v[None]]).astype(float), 40, sorted(member[s] - {i}), [j for j in range(40) if j not in member[s]]) for v in ((x[i], -x[i]) if i == 7 else (x[i],))]
+        assert any(math.isclose(r["average_precision"], w, abs_tol=1e-9) for w in want)
+        seen += r["n_pos"] == len(member[s] - {i}) and r["n_neg"] == 40 - len(member[s])
+    assert seen == 81
+
+
+def test_references_travel_and_are_held_as_single_floats_where_these_say_the_same():
+    for values, held in (([0.5, -2.0, 3.0, 0.25], np.float32), ([0.1, 0.2, 0.3, 0.4], np.float64)):
+        t = pa.table({"id": [1, 2], "labels": [["a"], []], "negative": [True, False], "features": [values[:2], values[2:]]})
+        rows, numbers, width, size = Q._packed(t)
+        table, got = Q._unpacked([{"rows": rows, "numbers": numbers, "width": width, "bytes": size}])
+        assert got.dtype == held and got.astype(float).ravel().tolist() == values and table.column("labels").to_pylist() == [["a"], []]
+
+
+def test_null_and_repeated_ids_stay_apart(spark):
+    x = np.random.default_rng(6).normal(size=(9, 3))
+    df = spark.createDataFrame([(None if i in (2, 5) else i % 7, "g" if i % 2 else "h", x[i].tolist()) for i in range(9)], "id long, perturbation string, features array<double>")
+    got = sorted((r["label"], r["n_pos"], r["n_neg"], round(r["average_precision"], 9)) for r in Q.distinctiveness(df).collect())
+    ids = [None if i in (2, 5) else i % 7 for i in range(9)]
+    want = []
+    for i in range(9):
+        same = [j for j in range(9) if j % 2 == i % 2]
+        pos = [j for j in same if ids[j] is None and j != i and ids[i] is None or ids[j] != ids[i] or (ids[j] is None and j == i)]
+        want.append(("g" if i % 2 else "h", len(pos), 9 - len(same)))
+    assert [g[:3] for g in got] == sorted(want)
