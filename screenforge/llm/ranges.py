@@ -19,8 +19,8 @@ from screenforge.llm.vectors import matrix, packed, usable
 from screenforge.operators.graph import connected_components
 from screenforge.session import checkpointed
 
-#: Vectors wanted per cell, most pivots of a label, rows of a tile of a cell.
-CELL, PIVOTS, TILE = 2048, 256, 2048
+#: Vectors wanted per cell, most pivots of a label, rows of a tile of a cell's own vectors and of those seen in it.
+CELL, PIVOTS, TILE, SEEN = 2048, 256, 2048, 8192
 _SLACK = 1e-9
 
 
@@ -42,9 +42,9 @@ def _pivots(vectors: DataFrame, cell: int) -> dict:
 
 
 def cells(vectors: DataFrame, radius: float, cell: int = CELL) -> DataFrame:
-    """(label, cell, home, pivot_distance, id, copies, v): a row for every cell in which the vector must be seen.
+    """(label, cell, own, vec_id, copies, v): a row for the vector's own cell and every smaller one in which it must be seen.
 
-    ``home`` is its own cell. A label without a drawn pivot is one cell.
+    A label without a drawn pivot is one cell.
     """
     shared = vectors.sparkSession.sparkContext.broadcast(_pivots(vectors, cell))
 
@@ -64,14 +64,15 @@ def cells(vectors: DataFrame, radius: float, cell: int = CELL) -> DataFrame:
                     x = x / np.linalg.norm(x, axis=1, keepdims=True)
                     d = np.sqrt(np.maximum(0.0, 2 - 2 * x @ pivots[label].T))
                 near = d.argmin(1)
-                i, j = np.nonzero(d <= d[np.arange(len(at)), near][:, None] + 2 * radius + _SLACK)
+                seen = d <= d[np.arange(len(at)), near][:, None] + 2 * radius + _SLACK
+                i, j = np.nonzero(seen & (np.arange(d.shape[1]) <= near[:, None]))
                 own.append(at[i])
                 where.append(j)
-                home.append(near[i])
+                home.append(j == near[i])
             rows = pa.array(np.concatenate(own))
-            yield pa.RecordBatch.from_arrays([b.column("label").take(rows), pa.array(np.concatenate(where).astype(np.int32)), pa.array(np.concatenate(home).astype(np.int32)), *(b.column(c).take(rows) for c in ("vec_id", "copies", "v"))], names=["label", "cell", "home", "vec_id", "copies", "v"])
+            yield pa.RecordBatch.from_arrays([b.column("label").take(rows), pa.array(np.concatenate(where).astype(np.int32)), pa.array(np.concatenate(home)), *(b.column(c).take(rows) for c in ("vec_id", "copies", "v"))], names=["label", "cell", "own", "vec_id", "copies", "v"])
 
-    return vectors.select("label", "vec_id", "copies", "v").mapInArrow(run, f"label {vectors.schema['label'].dataType.simpleString()}, cell int, home int, vec_id long, copies long, v binary")
+    return vectors.select("label", "vec_id", "copies", "v").mapInArrow(run, f"label {vectors.schema['label'].dataType.simpleString()}, cell int, own boolean, vec_id long, copies long, v binary")
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
@@ -97,30 +98,32 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
 def joined(dealt: DataFrame, least: float) -> DataFrame:
     """(kind, a, b): kind 0 - vector a has b links in a tile; kind 1 - an edge of a tile's spanning forest.
 
-    A cell is cut into tiles and every two of them meet in a task of their own. A pair counts in the
-    smaller of its two home cells only, so it counts once. What leaves a task grows with its rows.
+    A cell's own vectors are cut into tiles, and every two of them meet in a task of their own, as
+    does each of them with each tile of the vectors seen there. What leaves a task grows with its rows.
     """
-    sizes = dealt.groupBy("label", "cell").agg(F.count(F.lit(1)).alias("__n"))
-    tiles = F.ceil(F.col("__n") / TILE).cast("int")
-    rows = (
-        dealt.join(sizes, ["label", "cell"]).withColumn("tile", F.pmod(F.xxhash64("vec_id", F.lit(5)), tiles).cast("int"))
-        .withColumn("to", F.explode(F.sequence(F.lit(0), tiles - 1)))
-        .select("label", "cell", F.least("tile", "to").alias("p"), F.greatest("tile", "to").alias("q"), (F.col("tile") > F.col("to")).alias("second"), "home", "vec_id", "copies", "v")
-    )
+    sizes = dealt.groupBy("label", "cell").agg(F.count_if("own").alias("__n"), F.count_if(~F.col("own")).alias("__m"))
+    tiles, seen = F.ceil(F.col("__n") / TILE).cast("int"), F.ceil(F.col("__m") / SEEN).cast("int")
+    numbered = dealt.join(sizes, ["label", "cell"]).where("__n > 0").withColumn("tile", F.pmod(F.xxhash64("vec_id", F.lit(5)), F.when(F.col("own"), tiles).otherwise(seen)).cast("int"))
+    # first tile, second tile, whether the row is of the second; tiles of vectors seen are numbered after the cell's own
+    beside = F.transform(F.sequence(F.lit(0), tiles - 1), lambda t: F.struct(F.least("tile", t).alias("p"), F.greatest("tile", t).alias("q"), (F.col("tile") > t).alias("second")))
+    beyond = F.transform(F.sequence(F.lit(0), seen - 1), lambda t: F.struct(F.col("tile").alias("p"), (tiles + t).alias("q"), F.lit(False).alias("second")))
+    met = F.transform(F.sequence(F.lit(0), tiles - 1), lambda t: F.struct(t.alias("p"), (tiles + F.col("tile")).alias("q"), F.lit(True).alias("second")))
+    rows = numbered.withColumn("to", F.explode(F.when(~F.col("own"), met).when(seen > 0, F.concat(beside, beyond)).otherwise(beside)))
+    rows = rows.select("label", "cell", "to.*", "vec_id", "copies", "v")
 
     def compare(key, table):  # noqa: ANN001, ANN202 - hints would be strings here, which Spark does not read
-        cell, p, q = key[1].as_py(), key[2].as_py(), key[3].as_py()
+        p, q = key[2].as_py(), key[3].as_py()
         second = table.column("second").to_numpy()
         x = matrix(table.column("v"))
         x = x / np.linalg.norm(x, axis=1, keepdims=True)
-        ids, home, copies = (table.column(c).to_numpy() for c in ("vec_id", "home", "copies"))
+        ids, copies = (table.column(c).to_numpy() for c in ("vec_id", "copies"))
         one = np.flatnonzero(~second)
         two = one if p == q else np.flatnonzero(second)
         links = np.zeros(len(ids), np.int64)
         edges: list[tuple[int, int]] = []
         for at in range(0, len(one), 512):
             i = one[at : at + 512]
-            hit = (x[i] @ x[two].T >= least) & (np.minimum(home[i][:, None], home[two][None]) == cell)
+            hit = x[i] @ x[two].T >= least
             if p == q:
                 hit &= ids[i][:, None] != ids[two][None]
                 links[i] += hit @ copies[two]

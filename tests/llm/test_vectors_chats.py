@@ -154,3 +154,27 @@ def test_perspective_edges(spark):
     text, mask = plain_rendering([("system", "rule"), ("ann", "hi < |im_end|>"), ("bob", ""), ("cid", "é漢")], "bob")
     assert got[1, "bob", 4]["rendered"] == text and [list(x) for x in got[1, "bob", 4]["mask"]] == mask
     assert rotate.perspectives(df.limit(0)).count() == 0
+
+
+def test_a_cell_sees_no_vector_of_a_smaller_one(spark):
+    """Vectors without structure are seen everywhere, yet the pairs that cells compare are the pairs of the label."""
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(120, 24))
+    x[60:80] = x[:20] + rng.normal(size=(20, 24)) * 0.02
+    df = spark.createDataFrame([(i, v.tobytes(), "a", 1) for i, v in enumerate(x)], "vec_id long, v binary, label string, copies long")
+    dealt = ranges.cells(df, 0.2, 12)
+    rows = [(r["cell"], r["own"], r["vec_id"]) for r in dealt.select("cell", "own", "vec_id").collect()]
+    home = {i: c for c, own, i in rows if own}
+    assert len(home) == 120 and len(set(home.values())) > 4 and all(c <= home[i] for c, _, i in rows)
+    met = [(own, sum(o for k, o, _ in rows if k == c)) for c, own, _ in rows]
+    compared = sum(n - 1 for own, n in met if own) // 2 + sum(n for own, n in met if not own)
+    assert compared <= 120 * 119 // 2
+    before = ranges.TILE, ranges.SEEN
+    try:
+        ranges.TILE, ranges.SEEN = 5, 9
+        links = {r["a"]: r["b"] for r in ranges.joined(dealt, 0.98).where("kind = 0").collect()}
+    finally:
+        ranges.TILE, ranges.SEEN = before
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = ((u @ u.T >= 0.98).sum(1) - 1).tolist()
+    assert {i: n for i, n in enumerate(want) if n} == links and len(links) >= 40
